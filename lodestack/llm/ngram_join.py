@@ -20,7 +20,8 @@ shares at least four fifths of its set. The join is exact:
    all of whose sets are in one component need no further keys. So a group of
    thousands of near copies costs a few verifications each, not all pairs.
 5. Pairs of sets in different components that share a key are verified, unless
-   they were before, or their sizes rule them out.
+   they were before, or their sizes and the key's places in their orders leave
+   too few tokens to share.
 
 Verification counts the tokens two sets share; components are joined over all
 links. Nothing is capped: what the star of step 4 doesn't link is compared in
@@ -53,7 +54,7 @@ PART, WHOLE = 80, 100
 RARE = 16
 BUCKET_ENTRIES = 2_000_000
 LEAST_BUCKETS = 256
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -61,7 +62,7 @@ class _WordHash(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -194,18 +195,19 @@ def _token_sets(batches):
 
 
 def _prefix_entries(batches):
-    """(token, doc_id, n, rare) of each set's prefix of n - t + 2 tokens; tokens that no other set has stand before them all."""
+    """(token, doc_id, n, pos, rare) of each set's prefix of n - t + 2 tokens; tokens that no other set has stand before them all."""
     for batch in batches:
-        token, doc, size, rare = [], [], [], []
+        token, doc, size, pos, rare = [], [], [], [], []
         for d, n, raw, r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "tokens", "n_rare")), strict=True):
             have = np.frombuffer(raw, np.uint64)
             take = max(0, min(len(have), n - least_shared(n) + 2 - (n - len(have))))
             token.append(have[:take].view(np.int64))
             doc.append(np.full(take, d, np.int64))
             size.append(np.full(take, n, np.int64))
+            pos.append(np.arange(n - len(have), n - len(have) + take))
             rare.append(np.arange(take) < r)
         if token:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, doc, size, rare)], names=["token", "doc_id", "n", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, doc, size, pos, rare)], names=["token", "doc_id", "n", "pos", "rare"])
 
 
 def _verify(batches):
@@ -230,34 +232,48 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _combinations(batches):
-    """(key, ...) of two tokens for each pair of a set's frequent tokens."""
+    """A key for each two of a set's frequent tokens, in the order of rarity, with both positions."""
     for batch in batches:
-        for d, n, c, raw in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "n", "component", "tokens")), strict=True):
-            t = np.sort(np.array(raw, np.int64).view(np.uint64))
-            for i in range(len(t) - 1):
-                key = ((t[i] * _MIX[0]) ^ t[i + 1 :]) * _MIX[1]
-                m = len(key)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(m, d)), pa.array(np.full(m, n)), pa.array(np.full(m, c))], names=["token", "doc_id", "n", "component"])
+        for d, n, c, found in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "n", "component", "tokens")), strict=True):
+            found.sort(key=lambda x: x["pos"])
+            t = np.array([x["token"] for x in found], np.int64).view(np.uint64)
+            pos = np.array([x["pos"] for x in found], np.int64)
+            first, second = np.triu_indices(len(t), 1)
+            if len(first):
+                keys = ((t[first] * _MIX[0]) ^ t[second]) * _MIX[1]
+                same = lambda x: pa.array(np.full(len(first), x, np.int64))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), same(d), same(n), pa.array(pos[first]), pa.array(pos[second]), same(c)], names=["token", "doc_id", "n", "pos", "pos2", "component"])
+
+
+def _can_link(x: str, y: str, pos: str = "pos", before: int = 0):
+    """Two sets of these sizes whose shared tokens start at these places (``before`` of them earlier) can still share enough."""
+    size = lambda a: F.col(f"{a}.n")
+    left = before + F.least(size(x) - F.col(f"{x}.{pos}"), size(y) - F.col(f"{y}.{pos}"))
+    return (PART + WHOLE) * left >= PART * (size(x) + size(y))
 
 
 def linked_sets(sets: DataFrame) -> DataFrame:
     """Components (id, component) of sets (doc_id, n, tokens, n_rare), for ids with a link."""
-    entries = materialise(sets.select("doc_id", "n", "tokens", "n_rare").mapInArrow(_prefix_entries, "token bigint, doc_id bigint, n bigint, rare boolean"), "prefix")
-    by_size = lambda x, y: (WHOLE * F.least(x, y) >= PART * F.greatest(x, y))
-    pivots = entries.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "p.*")
-    pivots = pivots.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    star = entries.join(pivots, "token").where((F.col("doc_id") != F.col("a")) & by_size(F.col("n"), F.col("na")))
-    tested = materialise(star.select("a", F.col("doc_id").alias("b")).distinct(), "star")
+    entries = materialise(sets.select("doc_id", "n", "tokens", "n_rare").mapInArrow(_prefix_entries, "token bigint, doc_id bigint, n bigint, pos bigint, rare boolean"), "prefix")
+    pivots = entries.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "p.*")
+    star = entries.alias("x").join(pivots.alias("y"), "token").where((F.col("x.doc_id") != F.col("y.doc_id")) & _can_link("x", "y"))
+    tested = materialise(star.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "star")
     links = materialise(verified(tested, sets), "links")
     first = components(links)
     placed = entries.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     live = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     placed = materialise(placed.join(live, "token"), "live")
-    frequent = placed.where("not rare").groupBy("doc_id", "n", "component").agg(F.collect_set("token").alias("tokens")).mapInArrow(_combinations, "token bigint, doc_id bigint, n bigint, component bigint")
-    keys = placed.where("rare").select("token", "doc_id", "n", "component").unionByName(frequent)
-    x, y = keys.alias("x"), keys.alias("y")
-    across = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & by_size(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, across).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    frequent = placed.where("not rare").groupBy("doc_id", "n", "component").agg(F.collect_set(F.struct("token", "pos")).alias("tokens"))
+    frequent = frequent.mapInArrow(_combinations, "token bigint, doc_id bigint, n bigint, pos bigint, pos2 bigint, component bigint")
+
+    def across(keys: DataFrame, last: str, before: int, more) -> DataFrame:
+        # in the smaller set of a pair the shared tokens start within the first ninth: both sets share eight ninths of it
+        x = keys.where((PART + WHOLE) * (before + F.col("n") - F.col(last)) >= 2 * PART * F.col("n")).alias("x")
+        y = keys.alias("y")
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & _can_link("x", "y") & more)
+        return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+
+    pairs = across(placed.where("rare"), "pos", 0, F.lit(True)).unionByName(across(frequent, "pos2", 1, _can_link("x", "y", "pos2", 1))).distinct()
     pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "cross")
     return components(links.unionByName(verified(pairs, sets)))
 
