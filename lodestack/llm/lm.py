@@ -44,7 +44,8 @@ MAX_CONTEXTS = 1 << 17
 #: Scores of n-grams that a worker keeps.
 MAX_KNOWN = 1 << 20
 #: Bytes of text in a group, and entries in a bucket, about.
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 10_000_000
+SLICE_CHARS = 2_000_000
 BUCKET_ENTRIES = 1_500_000
 LEAST_BUCKETS = 256
 END = b""
@@ -227,7 +228,7 @@ def ask(texts: list, learn: list[bool], buckets: int):
         if ok:
             parts.append(words_of(t))
             held += len(t or "")
-        if parts and (t is None or held > 4_000_000):
+        if parts and (t is None or held > SLICE_CHARS):
             codes, _ = gram_codes(parts)
             which, distinct = pd.factorize(codes)
             found[len(found)] = (distinct, np.bincount(which))
@@ -328,7 +329,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
         at = 0
         while at < len(texts):
             to, held_ = at, 0
-            while to < len(texts) and (to == at or held_ < 4_000_000):
+            while to < len(texts) and (to == at or held_ < SLICE_CHARS):
                 held_ += len(texts[to] or "")
                 to += 1
             codes, sizes = gram_codes([words_of(t) for t in texts[at:to]])
