@@ -1,6 +1,280 @@
-"""Queries over the archive operators, and the SQL they are held against."""
+"""Queries over the archive operators, and the SQL they are held against.
+
+The test tables hold no program files, so inputs are columns of theirs, or
+words, bytes and names derived from them by formulas that both engines compute
+alike (the views below).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import mbf, text, words
+from .operators import report, symbols, triage
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Derived inputs, in SQL that both engines read alike.
+WORDS = "select l_returnflag as file, l_linestatus as section, cast((l_orderkey * 31 + l_partkey * 7 + l_linenumber) % 65536 as int) as word, cast(l_orderkey as bigint) as line, cast(l_partkey * 8 + l_linenumber as bigint) as pos from lineitem"
+DISTINCT_WORDS = f"select word, count(*) as n from ({WORDS}) w group by word"
+NAMES = "select cast(p_size as int) as file_id, cast(p_partkey as bigint) as pos, p_name as name, cast(p_partkey % 3 * 2 as int) as flags, cast(p_partkey % 41 as int) as bucket from part"
+PRICES = "select l_orderkey, l_partkey, l_linenumber, case when l_partkey % 2 = 0 then l_extendedprice else -l_extendedprice end as x from lineitem"
+
+
+def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    for t in tables:
+        sql = sql.replace(f"from {t}", f"from {{{t}}}")
+    return spark.sql(sql, **frames)
+
+
+def query(name: str, oracle: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return put
+
+
+def on_words(name: str, columns: Callable[[], dict], oracle: str) -> None:
+    """A query of scalar columns over the distinct derived words."""
+    QUERIES[name] = lambda spark, sf: _view(spark, sf, DISTINCT_WORDS, "lineitem").withColumns(columns())
+    ORACLE_SQL[name] = f"select word, n, {oracle} from ({DISTINCT_WORDS}) w"
+
+
+def _case(key: str, values: dict, default: str = "null") -> str:
+    show = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return f"case {key} " + " ".join(f"when {show(k)} then {show(v)}" for k, v in values.items()) + f" else {default} end"
+
+
+W = lambda: F.col("word")
+_VAR = f"({_case('word & 255', words.ACCESS)} || {_case('word >> 8', words.SUFFIX)})"
+_IMMEDIATE = "case when word & 255 = 100 and (word >> 8) % 4 = 1 then ((word >> 8) - 1) >> 2 end"
+_CONSTANT = f"case when word & 255 = 101 and (word >> 8) % 4 = 1 then 'PUSH_INT' when ({_IMMEDIATE}) is not null then 'PUSH_' || ({_IMMEDIATE}) end"
+_CONVERT = f"case when word & 255 = 8 and (word >> 8) % 4 = 1 then {_case('((word >> 8) - 1) >> 2', words.CONVERT)} end"
+_HEADER = "(word in (2, 3, 52, 53) or word & 1018 = 0)"
+_OPS = ", ".join(f"({c}, '{m}')" for c, m in words.expression_opcodes())
+_CLASSED = f"""(select w.*, coalesce(m, {_VAR}, {_CONSTANT}, {_CONVERT}) as mnemonic,
+  case when {_HEADER} then 'header' when coalesce(m, {_VAR}, {_CONSTANT}, {_CONVERT}) is not null then 'opcode' else 'unidentified' end as class
+  from ({WORDS}) w left join (values {_OPS}) o(c, m) on c = word)"""
+
+on_words("is_line_header", lambda: {"is_header": words.is_line_header(W())}, f"{_HEADER} as is_header")
+on_words("indent_of", lambda: {"indent": words.indent(W())}, "word >> 10 as indent")
+on_words("escaped_indent", lambda: {"indent": words.escaped_indent(W())}, "case when word & 1023 = 0 then word >> 10 else word end as indent")
+on_words("variable_op", lambda: {"mnemonic": words.variable_op(W())}, f"{_VAR} as mnemonic")
+on_words("variable_op_later", lambda: {"mnemonic": words.variable_op(W(), words.SUFFIX_LATER)}, f"({_case('word & 255', words.ACCESS)} || {_case('word >> 8', words.SUFFIX_LATER)}) as mnemonic")
+on_words("constant_op", lambda: {"mnemonic": words.constant_op(W())}, f"{_CONSTANT} as mnemonic")
+on_words("convert_op", lambda: {"mnemonic": words.convert_op(W())}, f"{_CONVERT} as mnemonic")
+on_words("immediate_opcode", lambda: {"opcode": words.immediate_opcode(W() % 13)}, "case when word % 13 <= 10 then (((word % 13) * 4 + 1) << 8) | 100 end as opcode")
+on_words("open_clauses", lambda: {"clauses": words.open_clauses(W())}, f"coalesce(' ACCESS ' || {_case('(word >> 8) & 3', words.OPEN_ACCESS)}, '') || coalesce(' ' || {_case('(word >> 8) & 112', words.OPEN_LOCKS)}, '') as clauses")
+on_words("param_mode_bits", lambda: words.param_bits(W()), "word & 512 <> 0 as has_suffix, word & 1024 <> 0 as is_array, word & 2048 <> 0 as by_segment, word & 4096 <> 0 as by_value, word & 8192 <> 0 as has_as")
+on_words("signature_kind_bits", lambda: words.signature_bits(W()), f"(word >> 8) & 3 = 2 as is_function, word & 32768 <> 0 as cdecl, (word >> 10) & 31 as alias_len, case when word & 128 <> 0 then {_case('word & 127', {1: '%', 2: '&', 3: '!', 4: '#', 5: '$'}, chr(39) * 2)} else '' end as return_suffix")
+on_words("label_bucket", lambda: {"chain": words.label_bucket(W())}, "32 + ((xor(word, word >> 8) >> 1) & 7) as chain")
+on_words("long_literal", lambda: {f"b{b}": text.long_literal((W() * 5).cast("bigint"), b) for b in (10, 16, 8)}, "case when word * 5 <= 32767 then (word * 5)::varchar || '&' else (word * 5)::varchar end as b10, '&H' || upper(to_hex(word * 5)) || case when word * 5 <= 65535 then '&' else '' end as b16, '&O' || printf('%o', word * 5) || case when word * 5 <= 65535 then '&' else '' end as b8")
+on_words("indent_ws", lambda: {"tabs": text.indent_white(W() % 41, True), "blanks": text.indent_white(W() % 41, False)}, "repeat(chr(9), (word % 41) // 8) || repeat(' ', (word % 41) % 8) as tabs, repeat(' ', word % 41) as blanks")
+on_words("declared_length", lambda: {"n_chars": F.when(W() % 256 >= 32, W() % 256 - 1)}, "case when word % 256 >= 32 then word % 256 - 1 end as n_chars")
+on_words("deftype_ranges", lambda: {"ranges": text.deftype_ranges(text.mask_letters(W(), (W() * 3) % 65536)), "keyword": F.coalesce(words._pick((W() * 3 % 65536).bitwiseAND(F.lit(63)), words.DEFTYPES), F.lit("DEFINT"))}, f"""
+  (select coalesce(string_agg(case when a = b then chr((65 + a)::int) else chr((65 + a)::int) || '-' || chr((65 + b)::int) end, ', ' order by a), '') from
+    (select min(i) as a, max(i) as b from (select i, i - row_number() over (order by i) as g from range(26) r(i) where case when i < 16 then (word >> (15 - i)::int) & 1 else ((word * 3 % 65536) >> (31 - i)::int) & 1 end = 1) group by g)) as ranges,
+  {_case('(word * 3 % 65536) & 63', words.DEFTYPES, "'DEFINT'")} as keyword""")
+
+
+@query("op_lookup", f"select mnemonic, class, count(*) as n, min(word) as first_word from {_CLASSED} group by mnemonic, class")
+def op_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    found = report.classified(_view(spark, sf, WORDS, "lineitem"), report.opcode_table(spark))
+    return found.groupBy("mnemonic", "class").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("first_word"))
+
+
+@query("stats", f"""select coalesce(file, 'TOTAL') as file, coalesce(section, 'TOTAL') as section, count(*) as opcodes, count(*) filter (class = 'unidentified') as unidentified,
+  round(100.0::double * (count(*) - count(*) filter (class = 'unidentified')) / count(*), 4) as percent from {_CLASSED} where class <> 'header' group by rollup (file, section)""")
+def stats(spark: SparkSession, sf: str) -> DataFrame:
+    return report.stats(report.classified(_view(spark, sf, WORDS, "lineitem"), report.opcode_table(spark)), "file", "section")
+
+
+@query("unknown_codes", f"select word as code, count(*) as n from {_CLASSED} where mnemonic is null group by word")
+def unknown_codes(spark: SparkSession, sf: str) -> DataFrame:
+    codes = _view(spark, sf, WORDS, "lineitem").withColumnRenamed("word", "code")
+    return symbols.unknown_codes(codes, report.opcode_table(spark)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FOUND = f"(select file, line, mnemonic, severity, min(pos) as pos from {_CLASSED} join (values {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in report.RULES.items())}) r(mnemonic, severity) using (mnemonic) group by file, line, mnemonic, severity)"
+
+
+@query("lint_check", f"select file, line, mnemonic, severity, pos from {_FOUND}")
+def lint_check(spark: SparkSession, sf: str) -> DataFrame:
+    found = report.classified(_view(spark, sf, WORDS, "lineitem"), report.opcode_table(spark))
+    return report.lint(found, report.rule_table(spark))
+
+
+@query("lint_report", f"select rank, s.severity, count(f.line) as n from (values (0, 'blocked'), (1, 'ignored'), (2, 'rework'), (3, 'platform')) s(rank, severity) left join {_FOUND} f on f.severity = s.severity group by rank, s.severity")
+def lint_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report.lint_report(lint_check(spark, sf))
+
+
+_TRIAGE_IN = "select cast(l_partkey % 256 as int) as a, cast(l_suppkey % 4 as int) as b, l_orderkey % 3 = 0 as t from lineitem"
+_KIND = f"case when a is null then 'empty' when a = 252 and b = 0 then 'QuickBASIC 4.5' when a = 252 and b = 2 then 'BASIC 7 PDS' else {_case('a', triage.KINDS, 'case when t then ' + repr('plain text') + ' else ' + repr('unrecognised') + ' end')} end"
+
+
+@query("triage_classify", f"select a, b, t, {_KIND} as kind, a = 252 as convertible, count(*) as n from ({_TRIAGE_IN}) i group by a, b, t")
+def triage_classify(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _view(spark, sf, _TRIAGE_IN, "lineitem").groupBy("a", "b", "t").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumns({"kind": triage.kind_of(F.col("a"), F.col("b"), F.col("t")), "convertible": triage.convertible(F.col("a"))})
+
+
+@query("triage_report", f"select kind, count(*) as n from (select {_KIND} as kind from ({_TRIAGE_IN}) i) k group by kind")
+def triage_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _view(spark, sf, _TRIAGE_IN, "lineitem")
+    return triage.triage_report(rows.select(triage.kind_of(F.col("a"), F.col("b"), F.col("t")).alias("kind")))
+
+
+@query("looks_like_text", r"select doc_id, length(text) > 0 and not contains(text, chr(0)) and (length(text) - length(regexp_replace(text, '[\x01-\x08\x0B\x0C\x0E-\x19\x1B-\x1F]', '', 'g')))::double / length(text) < 0.02 as is_text from documents")
+def looks_like_text(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.looks_like_text(F.col("text")).alias("is_text"))
+
+
+@query("lex_names", r"select name, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.]*[%&!#$]?')) as name from documents) group by name")
+def lex_names(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select(F.explode(text.names(F.col("text"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LITERALS = "select distinct cast(l_linenumber as int) as k, case l_linenumber % 7 when 0 then cast(l_partkey * 40 as varchar(20)) when 1 then cast(l_partkey as varchar(20)) || '#' when 2 then '&H' || cast(l_partkey * 9 as varchar(20)) when 3 then cast(l_partkey as varchar(20)) || '.5' when 4 then cast(l_partkey as varchar(20)) || 'E2' when 5 then cast(l_partkey as varchar(20)) || 'D2' else cast(l_partkey as varchar(20)) || '%' end as literal from lineitem"
+
+
+@query("numtype", f"""select k, literal, case when literal like '%#' then 'double' when literal like '%\\%' escape '\\' then 'integer'
+  when literal like '&H%' then case when ('0x' || literal[3:])::bigint <= 65535 then 'integer' else 'long' end
+  when literal like '%D%' then 'double' when literal like '%.%' or literal like '%E%' then 'single'
+  when literal::bigint <= 32767 then 'integer' else 'long' end as numtype from ({_LITERALS}) l""")
+def numtype(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, _LITERALS, "lineitem").withColumn("numtype", text.numtype(F.col("literal")))
+
+
+_LINES = "select distinct concat(repeat(' ', cast(l_linenumber as int)), repeat(chr(9), cast(l_quantity % 3 as int)), repeat(' ', cast(l_suppkey % 11 as int)), l_returnflag) as line from lineitem"
+
+
+@query("source_indent", """with l as (""" + _LINES + """), c as (select line, regexp_extract(line, '^[ \\t]*') as lead from l)
+  select line, list_reduce(list_prepend(0::bigint, list_transform(string_split(lead, ''), lambda ch: case when ch = chr(9) then -1 when ch = ' ' then 1 else 0 end::bigint)), lambda n, x: case when x = -1 then n + 8 - n % 8 else n + x end) as indent from c""")
+def source_indent(spark: SparkSession, sf: str) -> DataFrame:
+    return _view(spark, sf, _LINES, "lineitem").withColumn("indent", text.source_indent(F.col("line")).cast("bigint"))
+
+
+@query("comment_align", "select p_partkey, rpad(p_name, greatest(p_size, length(p_name) + 1)::int, ' ') || '''' || p_brand as line from part")
+def comment_align(spark: SparkSession, sf: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return part.select("p_partkey", text.aligned(F.col("p_name"), F.col("p_size"), F.concat(F.lit("'"), "p_brand")).alias("line"))
+
+
+@query("hexdump", r"""with r as (select p_partkey, p_name, unnest(range(0, length(p_name), 16)) as off from part), p as (select p_partkey, off, substr(p_name, off::int + 1, 16) as s from r)
+  select p_partkey, off::int as off, trim(regexp_replace(lower(hex(s)), '(..)', '\1 ', 'g')) as hex, regexp_replace(s, '[^\x20-\x7e]', '.', 'g') as shown from p""")
+def hexdump(spark: SparkSession, sf: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return part.select("p_partkey", F.inline(text.hexdump(F.col("p_name").cast("binary"))))
+
+
+@query("intern_names", f"select file_id, flags, arg_min(name, pos) as name, min(pos) as pos from ({NAMES}) n group by file_id, flags, lower(name)")
+def intern_names(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.intern_names(_view(spark, sf, NAMES, "part"))
+
+
+_LAYOUT = f"(select *, coalesce(lead(ref) over (partition by file_id, bucket order by ref), 0) as link from (select *, 86 + coalesce(sum(4 + length(name)) over (partition by file_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as ref from ({NAMES}) n))"
+
+
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.name_layout(_view(spark, sf, NAMES, "part"))
+
+
+@query("name_layout", f"select file_id, pos, name, flags, bucket, ref, link from {_LAYOUT}")
+def name_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return _placed(spark, sf)
+
+
+@query("buckets", f"select file_id, bucket, min(ref) as head from {_LAYOUT} group by file_id, bucket")
+def buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.bucket_heads(_placed(spark, sf))
+
+
+@query("bucket_chain", f"select file_id, bucket, ref, row_number() over (partition by file_id, bucket order by ref) - 1 as step, null::varchar as error from {_LAYOUT}")
+def bucket_chain(spark: SparkSession, sf: str) -> DataFrame:
+    placed = _placed(spark, sf)
+    return symbols.walk_chains(symbols.bucket_heads(placed), placed)
+
+
+@query("name_entry_props", f"select file_id, pos, f & 64 <> 0 as is_sub, f & 4 <> 0 and f not in (2, 6) as is_label, case when f & 64 <> 0 then 'sub' when f in (2, 6) then 'line' when f & 4 <> 0 then 'label' else 'name' end as kind from (select *, case when pos % 5 = 0 then 64 else flags + case when pos % 7 = 0 then 2 else 0 end end as f from ({NAMES}) n)")
+def name_entry_props(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.when(F.col("pos") % 5 == 0, 64).otherwise(F.col("flags") + F.when(F.col("pos") % 7 == 0, 2).otherwise(0))
+    return _view(spark, sf, NAMES, "part").select("file_id", "pos", *[c.alias(k) for k, c in symbols.name_properties(f, F.col("name")).items()])
+
+
+@query("subs", f"select file_id, pos, name from ({NAMES}) n where (case when pos % 5 = 0 then 64 else 0 end) & 64 <> 0")
+def subs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _view(spark, sf, NAMES, "part").withColumn("f", F.when(F.col("pos") % 5 == 0, 64).otherwise(0))
+    return rows.where(F.col("f").bitwiseAND(F.lit(64)) != 0).select("file_id", "pos", "name")
+
+
+_REFS = "select cast(l_partkey % 50 + 1 as int) as file_id, cast(86 + l_suppkey * 3 as bigint) as ref, cast(l_orderkey as bigint) as line from lineitem"
+
+
+@query("symbol_resolve", f"select r.file_id, r.ref, coalesce(l.name, '<' || lower(lpad(to_hex(r.ref), 4, '0')) || '>') as name, count(*) as n from ({_REFS}) r left join {_LAYOUT} l on l.file_id = r.file_id and l.ref = r.ref group by 1, 2, 3")
+def symbol_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    found = symbols.resolve(_view(spark, sf, _REFS, "lineitem"), _placed(spark, sf))
+    return found.groupBy("file_id", "ref", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LABELS = "select cast(o_custkey as bigint) as file_id, cast(o_orderkey * 6 as bigint) as off from orders"
+
+
+@query("label_chain", f"select file_id, off, coalesce(lead(off) over (partition by file_id order by off) + 2, 65535) as link from ({_LABELS}) l")
+def label_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.label_chain(_view(spark, sf, _LABELS, "orders"))
+
+
+_EXP = "case when abs(y) < pow(2.0, floor(log2(abs(y)))) then floor(log2(abs(y))) - 1 when abs(y) >= pow(2.0, floor(log2(abs(y))) + 1) then floor(log2(abs(y))) + 1 else floor(log2(abs(y))) end"
+
+
+def _mbf_sql(bits: int) -> str:
+    size, digits = (bits + 8) // 8, min(bits, 53)
+    parts = " || ".join(f"lpad(to_hex((body >> {8 * i}) & 255), 2, '0')" for i in range(size - 1))
+    return f"""with v as (select *, {'x::float::double' if bits == 24 else 'x'} as y from ({PRICES}) p), e as (select *, ({_EXP})::bigint as e from v),
+    b as (select *, ((abs(y) / pow(2.0, e - {digits - 1}))::bigint << {bits - digits}) & {(1 << bits - 1) - 1} | case when y < 0 then {1 << bits - 1} else 0 end as body from e)
+    select l_orderkey, l_partkey, l_linenumber, lower({parts} || lpad(to_hex(e + 129), 2, '0')) as mbf, null::varchar as error from b"""
+
+
+def _mbf_encode(bits: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _view(spark, sf, PRICES, "lineitem")
+        return rows.select("l_orderkey", "l_partkey", "l_linenumber", mbf.encode_hex(F.col("x"), bits).alias("mbf"), mbf.error(F.col("x"), bits).alias("error"))
+
+    return run
+
+
+def _mbf_bytes(bits: int) -> list[str]:
+    size = (bits + 8) // 8
+    return [f"(l_partkey * {3 + i} + l_suppkey * {i} + l_orderkey) % 256" for i in range(size - 1)] + ["(l_partkey + l_suppkey) % 256"]
+
+
+def _mbf_decode_sql(bits: int) -> str:
+    *body, e = _mbf_bytes(bits)
+    top = 1 << bits - 1
+    number = " + ".join(f"(({b})::bigint << {8 * i})" for i, b in enumerate(body))
+    return f"""with b as (select l_orderkey, l_partkey, l_linenumber, {number} as body, {e} as e from lineitem)
+    select l_orderkey, l_partkey, l_linenumber, case when e = 0 then 0.0::double else case when body & {top} <> 0 then -1.0::double else 1.0::double end * ((body & {top - 1}) | {top})::double * pow(2.0::double, e - {129 + bits - 1}) end as value from b"""
+
+
+def _mbf_decode(bits: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        digits = [F.lpad(F.hex(F.expr(b).cast("bigint")), 2, "0") for b in _mbf_bytes(bits)]
+        rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+        return rows.select("l_orderkey", "l_partkey", "l_linenumber", mbf.decode(F.unhex(F.concat(*digits)), bits).alias("value"))
+
+    return run
+
+
+for _bits, _name in ((24, "single"), (56, "double")):
+    QUERIES[f"mbf_float_to_{_name}"], ORACLE_SQL[f"mbf_float_to_{_name}"] = _mbf_encode(_bits), _mbf_sql(_bits)
+    QUERIES[f"mbf_{_name}_to_float"], ORACLE_SQL[f"mbf_{_name}_to_float"] = _mbf_decode(_bits), _mbf_decode_sql(_bits)
