@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import held, text_slices
 
-MAX_WORDS = 600_000
+MAX_WORDS = 500_000
 GAP = np.int64(-1)
 
 
@@ -232,14 +232,9 @@ class WordTable:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_tables: dict[str, WordTable] = {}
-
-
 def word_table(path: str) -> WordTable:
     """One table a worker and vocabulary."""
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
+    return held(("words", path), lambda: WordTable(path))
 
 
 def encode_column(path: str):

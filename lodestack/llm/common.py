@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = r"[\x20\x09-\x0D]+"
 #: Characters of text that a Python worker holds as words at a time.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 4_000_000
 #: Rows of a slice; their numbers fit 16 bits.
 MAX_ROWS = 50_000
 
 _own_dir: str | None = None
+_held: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(key, make):
+    """The table that a worker keeps between tasks. It keeps one: an operator's table goes when another's is asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import held, text_slices
 
 DIM = 512
 #: About so many rows are learned from, chosen by a hash of the id.
 FIT_ROWS = 20_000
-MAX_GRAMS = 40_000
+MAX_GRAMS = 20_000
+#: Characters in work at a time.
+SLICE_CHARS = 1_500_000
 UNKNOWN = "und"
 #: Letters are numbered below 2**20, so three fit a long.
 BITS = 20
@@ -111,14 +113,8 @@ class LetterSpace:
         return out
 
 
-_space: LetterSpace | None = None
-
-
 def letter_space() -> LetterSpace:
-    global _space
-    if _space is None:
-        _space = LetterSpace()
-    return _space
+    return held("letters", LetterSpace)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -139,7 +135,7 @@ def fit(train: DataFrame, rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             held: dict[str, np.ndarray] = {}
             at = 0
-            for part in text_slices(texts):
+            for part in text_slices(texts, SLICE_CHARS):
                 for lang, v in zip(langs[at : at + len(part)], _unit(space.encode(part)), strict=True):
                     held[lang] = held.get(lang, 0) + v.astype(np.float64)
                 at += len(part)
@@ -162,7 +158,7 @@ def predictor(prototypes: dict[str, np.ndarray]):
         for texts in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for part in text_slices(texts.tolist()):
+            for part in text_slices(texts.tolist(), SLICE_CHARS):
                 v = space.encode(part)
                 found = v.any(axis=1) & bool(names)
                 cosines = np.clip(_unit(v) @ matrix, 0, 1)

@@ -37,6 +37,8 @@ NEIGHBOURS = 25
 SHARPNESS = 4
 GOOD = 0.7
 BLOCK = 512
+#: Characters in work at a time.
+SLICE_CHARS = 1_500_000
 
 
 def _classes() -> np.ndarray:
@@ -111,7 +113,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
         for batch in batches:
             ids, labels, texts = (batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))
             at = 0
-            for part in text_slices(texts):
+            for part in text_slices(texts, SLICE_CHARS):
                 for i in range(0, len(part), BLOCK):
                     block = [x.astype(np.float16).tobytes() for x in counts_of(part[i : i + BLOCK])]
                     here = slice(at + i, at + i + len(block))
@@ -147,7 +149,7 @@ def scorer(model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.concatenate([np.empty(0), *(sent.value.score(part) for part in text_slices(texts.tolist()))]))
+            yield pd.Series(np.concatenate([np.empty(0), *(sent.value.score(part) for part in text_slices(texts.tolist(), SLICE_CHARS))]))
 
     return score
 
