@@ -12,7 +12,7 @@ _own: list[str] = []
 
 
 def scan_binary(spark: SparkSession, path: str, glob: str = "*.[Bb][Aa][Ss]") -> DataFrame:
-    """path, content, length of the files below path whose names match, case aside."""
+    """path, content, length of the files below path whose names match, case aside. Spark's reader passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", "content", "length")
 
