@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .exact_dedup import mark_repeats
 
-NEIGHBOURS = 24
-BLOCK = 512
-TABLES = 4
-ITERATIONS = 6
+NEIGHBOURS = 32
+BLOCK = 4096
+ROWS_AT_ONCE = 512
+TABLES = 8
+ITERATIONS = 10
 #: Iterations end when fewer than this share of the edges is new.
 SETTLED = 0.01
-POOL = 96
+POOL = 80
 ROUNDS = 12
 SEED = 7
 EDGE = "node bigint, near bigint, score float"
@@ -102,18 +103,21 @@ def _block_edges(nodes: DataFrame, dim: int, which: int, k: int) -> DataFrame:
                 vectors = np.concatenate((vectors, _matrix(batch.column("v"))))
             while len(ids) >= 2 * BLOCK or (batch is None and len(ids) > 1):
                 n = BLOCK if len(ids) >= 2 * BLOCK else len(ids)
-                yield _top(ids[:n], vectors[:n] @ vectors[:n].T, k)
+                for a in range(0, n, ROWS_AT_ONCE):
+                    yield _top(ids[:n], vectors[:n], a, min(n, a + ROWS_AT_ONCE), k)
                 ids, vectors = ids[n:], vectors[n:]
 
     coded = nodes.mapInArrow(code, "node bigint, v binary, code bigint")
     return coded.repartitionByRange("code", "node").sortWithinPartitions("code", "node").mapInArrow(compare, EDGE)
 
 
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    np.fill_diagonal(scores, -np.inf)
+def _top(ids: np.ndarray, vectors: np.ndarray, a: int, b: int, k: int) -> pa.RecordBatch:
+    """The k nearest in the block of its rows a to b."""
+    scores = vectors[a:b] @ vectors.T
+    scores[np.arange(b - a), np.arange(a, b)] = -np.inf
     k = min(k, len(ids) - 1)
     near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(scores, near, 1).ravel().astype(np.float32))], names=["node", "near", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], k)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(scores, near, 1).ravel().astype(np.float32))], names=["node", "near", "score"])
 
 
 def _local_joins(batches):
