@@ -83,32 +83,31 @@ def _best(edges: DataFrame, k: int, of: str = "node", other: str = "near") -> Da
     return edges.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
-def _block_edges(nodes: DataFrame, dim: int, which: int, k: int) -> DataFrame:
-    """Nearest nodes within blocks of the order that random hyperplanes give."""
+def _block_edges(nodes: DataFrame, dim: int, which: int, k: int, n: int) -> DataFrame:
+    """Nearest nodes within blocks of the order that random hyperplanes give. Quantiles cut the blocks, whatever the partitions are."""
     planes = np.random.default_rng((SEED, which)).standard_normal((dim, 24)).astype(np.float32)
 
-    def code(batches):
-        for batch in batches:
-            if batch.num_rows:
-                bits = (_matrix(batch.column("v")) @ planes > 0) @ (1 << np.arange(23, -1, -1))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array(bits, pa.int64())], names=["node", "v", "code"])
-
-    def compare(batches):
-        ids, vectors = np.empty(0, np.int64), np.empty((0, dim), np.float32)
-        for batch in [*batches, None]:
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                ids = np.concatenate((ids, batch.column("node").to_numpy()))
-                vectors = np.concatenate((vectors, _matrix(batch.column("v"))))
-            while len(ids) >= 2 * BLOCK or (batch is None and len(ids) > 1):
-                n = BLOCK if len(ids) >= 2 * BLOCK else len(ids)
-                for a in range(0, n, ROWS_AT_ONCE):
-                    yield _top(ids[:n], vectors[:n], a, min(n, a + ROWS_AT_ONCE), k)
-                ids, vectors = ids[n:], vectors[n:]
-
-    coded = nodes.mapInArrow(code, "node bigint, v binary, code bigint")
-    return coded.repartitionByRange("code", "node").sortWithinPartitions("code", "node").mapInArrow(compare, EDGE)
+    def coded(bounds: np.ndarray):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    bits = (_matrix(batch.column("v")) @ planes > 0) @ (1 << np.arange(23, -1, -1))
+                    # equal codes are told apart by the node
+                    code = bits + batch.column("node").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) / 2.0**64
+                    block = np.searchsorted(bounds, code, "right")
+                    yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array(code, pa.float64()), pa.array(block, pa.int64())], names=["node", "v", "code", "block"])
+
+        return nodes.mapInArrow(run, "node bigint, v binary, code double, block bigint")
+
+    def compare(part: pa.Table) -> pa.Table:
+        ids, vectors = part.column("node").to_numpy(), _matrix(part.column("v"))
+        if len(ids) < 2:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=["node", "near", "score"])
+        return pa.Table.from_batches([_top(ids, vectors, a, min(len(ids), a + ROWS_AT_ONCE), k) for a in range(0, len(ids), ROWS_AT_ONCE)])
+
+    blocks = n // BLOCK
+    bounds = coded(np.empty(0)).approxQuantile("code", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    return coded(np.array(sorted(bounds))).groupBy("block").applyInArrow(compare, EDGE)
 
 
 def _top(ids: np.ndarray, vectors: np.ndarray, a: int, b: int, k: int) -> pa.RecordBatch:
@@ -151,9 +150,10 @@ def _edges(rows: list) -> pa.RecordBatch:
 
 def neighbour_graph(nodes: DataFrame, dim: int, k: int = NEIGHBOURS, iterations: int = ITERATIONS) -> DataFrame:
     """node, near, score: the k nearest that NN-descent finds. nodes (written): node, v."""
-    start = _block_edges(nodes, dim, 0, k)
-    for t in range(1, TABLES):
-        start = start.unionByName(_block_edges(nodes, dim, t, k))
+    n = nodes.count()
+    start = _block_edges(nodes, dim, 0, k, n)
+    for t in range(1, TABLES if n > BLOCK else 1):
+        start = start.unionByName(_block_edges(nodes, dim, t, k, n))
     edges = materialise(_best(start.distinct(), k).withColumn("fresh", F.lit(True)), "graph")
     for _ in range(iterations):
         worst = edges.groupBy("node").agg(F.min("score").alias("w"), F.count(F.lit(1)).alias("m")).select("node", F.when(F.col("m") < k, F.lit(-2.0)).otherwise(F.col("w")).cast("float").alias("worst"))
@@ -167,8 +167,8 @@ def neighbour_graph(nodes: DataFrame, dim: int, k: int = NEIGHBOURS, iterations:
         pool = edges.select("node", "near", "score", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
         pool = pool.groupBy("node", "near").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
         edges = materialise(_best(pool, k), "graph")
-        n, fresh = edges.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
-        if fresh <= SETTLED * n:
+        held, fresh = edges.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+        if fresh <= SETTLED * held:
             break
     return edges.select("node", "near", "score")
 
