@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import mbf, text, words
-from .operators import report, symbols, triage
+from .operators import decode, report, structure, symbols, triage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -278,3 +278,72 @@ def _mbf_decode(bits: int):
 for _bits, _name in ((24, "single"), (56, "double")):
     QUERIES[f"mbf_float_to_{_name}"], ORACLE_SQL[f"mbf_float_to_{_name}"] = _mbf_encode(_bits), _mbf_sql(_bits)
     QUERIES[f"mbf_{_name}_to_float"], ORACLE_SQL[f"mbf_{_name}_to_float"] = _mbf_decode(_bits), _mbf_decode_sql(_bits)
+
+
+#: Program files of a hundred names and as many lines each, whatever the scale: a name table from part, and a stream with two instructions a line.
+FILES = "select cast(p_partkey - p_partkey % 100 as bigint) as file_id, cast(p_partkey as bigint) as pos, p_name as name, cast(case p_partkey % 3 when 0 then 0 when 1 then 4 else 64 end as int) as flags, cast(p_size % 32 as int) as indent, cast(p_partkey % 65536 as int) as value from part"
+
+
+def _le(number: Column) -> Column:
+    """A word's bytes as hex, the low one first."""
+    digits = F.lpad(F.hex(number.cast("bigint")), 4, "0")
+    return F.concat(F.substring(digits, 3, 2), F.substring(digits, 1, 2))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of files that hold the rows of FILES."""
+    rows = _view(spark, sf_dir, FILES, "part")
+    name = F.hex(F.encode("name", "ISO-8859-1"))
+    entry = F.concat(F.lit("0000"), F.lpad(F.hex("flags"), 2, "0"), F.lpad(F.hex(F.length(name) / 2), 2, "0"), name)
+    line = F.concat(_le(F.col("indent") * 1024), F.lit("0B04"), _le(F.col("value")), F.lit("6501"), _le(F.col("indent")))
+    made = rows.groupBy(F.col("file_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry"), line.alias("line")))).alias("all"))
+    names, body = F.array_join("all.entry", ""), F.concat(F.array_join("all.line", ""), F.lit("09000800"))
+    end = _le(86 + F.length(names) / 2)
+    head = F.concat(F.lit("FC00" + "00" * 24), end, F.lit("00" * 82), end, F.lit("0000"))
+    trailer = F.concat(F.lit("FF" * 8), _le(F.size("all")), F.lit("000000000201"))
+    return made.select("path", F.unhex(F.concat(head, names, _le(F.length(body) / 2), body, trailer)).alias("content"))
+
+
+@query("parse_names", f"select cast(file_id as varchar) as path, 86 + coalesce(sum(4 + length(name)) over (partition by file_id order by pos rows between unbounded preceding and 1 preceding), 0) as ref, flags, name from ({FILES}) f")
+def parse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name tables of whole files."""
+    return structure.parse_names(_images(spark, sf_dir)).where("error is null").select("path", F.col("ref").cast("bigint").alias("ref"), "flags", "name")
+
+
+@query("parse_header", f"select cast(file_id as varchar) as path, 114 + sum(4 + length(name)) as names_end, false as uses_tabs from ({FILES}) f group by file_id")
+def parse_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of whole files, by built-in functions."""
+    return structure.header(_images(spark, sf_dir)).where("error is null").select("path", F.col("names_end").cast("bigint").alias("names_end"), "uses_tabs")
+
+
+@query("parse_sections", f"select cast(file_id as varchar) as path, 0 as section, 10 * count(*) + 4 as declared_length, count(*) as line_count from ({FILES}) f group by file_id")
+def parse_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and trailers of whole files."""
+    found = structure.parse_sections(_images(spark, sf_dir)).where("error is null")
+    return found.select("path", "section", F.col("declared_length").cast("bigint").alias("declared_length"), F.col("trailer.line_count").cast("bigint").alias("line_count"))
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opcodes = spark.createDataFrame([(6, "COLON", [])], "code int, mnemonic string, operands array<string>")
+    return decode.decode_sections(structure.parse_sections(_images(spark, sf_dir)), opcodes)
+
+
+_NUMBERED = f"select cast(file_id as varchar) as path, row_number() over (partition by file_id order by pos) - 1 as line_no, indent, value from ({FILES}) f"
+
+
+@query("decode_section", f"select path, line_no, 0 as instr_no, 'LOAD%' as mnemonic, value as operand from ({_NUMBERED}) n union all select path, line_no, 1, 'PUSH_INT', indent from ({_NUMBERED}) n")
+def decode_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions of whole files."""
+    return decode.instr_rows(_decoded(spark, sf_dir)).select("path", F.col("line_no").cast("bigint").alias("line_no"), "instr_no", "mnemonic", F.get("operands", F.lit(0)).alias("operand"))
+
+
+@query("decode_lines", f"select path, line_no, indent, 10 * line_no as at from ({_NUMBERED}) n")
+def decode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole files."""
+    return decode.line_rows(_decoded(spark, sf_dir)).select("path", F.col("line_no").cast("bigint").alias("line_no"), "indent", F.col("offset").cast("bigint").alias("at"))
+
+
+@query("in_sync", f"select cast(file_id as varchar) as path, true as in_sync from ({FILES}) f group by file_id")
+def in_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether as many lines come out as the trailer says."""
+    return _decoded(spark, sf_dir).select("path", "in_sync")
