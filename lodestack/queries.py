@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import mbf, text, words
-from .operators import decode, report, structure, symbols, triage
+from .operators import decode, report, source, structure, symbols, triage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -347,3 +347,37 @@ def decode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def in_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether as many lines come out as the trailer says."""
     return _decoded(spark, sf_dir).select("path", "in_sync")
+
+
+SOURCES = "select p_partkey, 'A' || p_partkey || '% = (' || p_size || ' + ' || p_partkey || ') * 2 '' note: 3' as line, p_size || ' + A' || p_partkey || ' * -2 ^ 3' as expression from part"
+DECLARATIONS = "select cast(p_partkey - p_partkey % 100 as bigint) as path, case when p_partkey % 10 = 0 then 'TYPE T' || p_size else 'DIM V' || p_partkey || '(5) AS t' || p_size end as line, p_partkey, p_size from part"
+
+
+@query(
+    "lex",
+    "select p_partkey, 3 as token_no, cast(p_size as varchar) as text, 'integer' as numtype from part union all select p_partkey, 5, cast(p_partkey as varchar), case when p_partkey <= 32767 then 'integer' else 'long' end from part union all select p_partkey, 8, '2', 'integer' from part",
+)
+def lex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers among the tokens of lines."""
+    lexed = source.lex_lines(_view(spark, sf_dir, SOURCES, "part"))
+    return source.token_rows(lexed, "p_partkey").where("kind = 'NUMBER'").select("p_partkey", "token_no", "text", "numtype")
+
+
+@query("parse_expression", "select p_partkey, 'PUSH ' || p_size || ' LOAD A' || p_partkey || ' PUSH 2 PUSH 3 POWER NEGATE MULTIPLY ADD' as words from part")
+def parse_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions in reverse Polish."""
+    return source.parse_expressions(_view(spark, sf_dir, SOURCES, "part")).select("p_partkey", F.array_join("words", " ").alias("words"))
+
+
+@query("record_variables", f"select distinct cast(a.path as varchar) as path, 'v' || a.p_partkey as name from ({DECLARATIONS}) a join ({DECLARATIONS}) b on a.path = b.path and a.p_size = b.p_size and b.p_partkey % 10 = 0 where a.p_partkey % 10 <> 0")
+def record_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables of the types that their file defines."""
+    return source.record_variables(_view(spark, sf_dir, DECLARATIONS, "part").withColumn("path", F.col("path").cast("string")))
+
+
+@query("would_change", "select p_partkey, p_partkey % 2 = 0 as changed from part")
+def would_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether texts differ in lines."""
+    rows = _view(spark, sf_dir, "select p_partkey, p_name from part", "part")
+    after = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "\n\n").otherwise("\r\n"))
+    return rows.select("p_partkey", source.would_change(F.concat("p_name", F.lit("\n")), after).alias("changed"))
