@@ -13,9 +13,11 @@ bounded size by a hash of their id. A group sends the distinct words (as 64-bit
 hashes) and n-grams it holds with its counts to buckets; a bucket adds them up
 and answers each group that asked; then each group scores its documents. So no
 task holds the vocabulary, and a word in every document costs one entry a group.
-The tree is broadcast. It is bounded: a context has nodes if it holds at least
-one in ``MAX_CONTEXTS`` of all bytes, so at most that many of each length do, and
-what others hold stays with their parents as one more child.
+Every context that was learned from has its nodes, however rare. N-grams go to
+buckets by the last ``SPLIT`` bytes of their context, so a bucket holds whole
+subtrees; what it sends up gives the nodes of shorter contexts, which are
+broadcast (their number is bounded by the bytes there are, not by a limit). Each
+bucket then scores its n-grams and answers the groups that hold them.
 
 Defined cases: null text counts as empty; an empty text is one token, the end;
 a null doc_id is neither learned from nor held out; with nothing to learn from
@@ -26,7 +28,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,16 +41,15 @@ from .bpe import _Numbered
 from .common import in_thirds, materialise
 
 DEPTH = 5
-#: Contexts of a length that can be in the tree.
-MAX_CONTEXTS = 1 << 17
-#: Scores of n-grams that a worker keeps.
-MAX_KNOWN = 1 << 20
+#: Contexts of this length and longer are kept in buckets, shorter ones are broadcast.
+SPLIT = 3
 #: Bytes of text in a group, and entries in a bucket, about.
 GROUP_BYTES = 10_000_000
 SLICE_CHARS = 2_000_000
 BUCKET_ENTRIES = 1_500_000
 LEAST_BUCKETS = 256
 END = b""
+UPPER_OF = -3
 GRAMS_OF = -2
 TOTALS_OF = -1
 
@@ -91,14 +92,12 @@ def _ln_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Contexts of one length and their nodes: keys (context, place in the byte's tree), counts, weight of their own estimate, counts that no child holds."""
+    """Nodes of contexts of one length: keys (context, place in the byte's tree), counts, weight of their own estimate."""
 
-    contexts: np.ndarray
     keys: np.ndarray
     zeros: np.ndarray
     ones: np.ndarray
     own: np.ndarray
-    rest: np.ndarray
 
 
 def _nodes(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,87 +109,81 @@ def _nodes(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, np.bincount(at, n * ~bits, len(keys)), np.bincount(at, n * bits, len(keys))
 
 
+def _upwards(keys: np.ndarray, d: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of the values of nodes of contexts of d bytes at their parents, whose keys come first."""
+    # a child's context is its parent's and one byte before it
+    parents, at = np.unique((keys >> 8 & (1 << 8 * (d - 1)) - 1) << 8 | keys & 255, return_inverse=True)
+    return parents, *(np.bincount(at, v, len(parents)) for v in values)
+
+
+def _level(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None = None) -> tuple[Level, np.ndarray]:
+    """A level, and the ln of its nodes' weighted probabilities; children: those of the level below, summed."""
+    own = _ln_kt(zeros, ones)
+    if children is None:
+        return Level(keys, zeros, ones, np.ones(len(keys))), own
+    mix = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
+    return Level(keys, zeros, ones, mix), np.logaddexp(own, children) - math.log(2)
+
+
+def _above(up: tuple[np.ndarray, ...], d: int) -> list[Level]:
+    """Levels of contexts of 0 to d bytes, from the sums that their longest nodes get from below: keys, weighted, zeros, ones."""
+    levels: list[Level] = []
+    for length in range(d, -1, -1):
+        keys, children, zeros, ones = up
+        level, weighted = _level(keys, zeros, ones, children)
+        levels.append(level)
+        if length:
+            up = _upwards(keys, length, weighted, zeros, ones)
+    return levels[::-1]
+
+
+def _subtrees(grams: np.ndarray, counts: np.ndarray, first: int) -> tuple[list[Level], tuple[np.ndarray, ...]]:
+    """Levels of contexts of ``first`` to DEPTH bytes, of all n-grams that have the same last bytes, and what they send up."""
+    keys, zeros, ones = _nodes(grams, counts)
+    level, weighted = _level(keys, zeros, ones)
+    levels = [level]
+    for d in range(DEPTH, first, -1):
+        keys, children, zeros, ones = _upwards(keys, d, weighted, zeros, ones)
+        level, weighted = _level(keys, zeros, ones, children)
+        levels.append(level)
+    return levels[::-1], _upwards(keys, first, weighted, zeros, ones)
+
+
 @dataclass
 class ContextTree:
     levels: list[Level]
-    known: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    values: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     @classmethod
     def build(cls, by_length: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
         """by_length: n-grams (contexts of 0, 1, ... bytes and a byte) and their counts."""
-        levels: list[Level] = []
-        below_keys = below_weighted = None
-        below = None
-        for d in range(len(by_length) - 1, -1, -1):
-            keys, zeros, ones = _nodes(*by_length[d])
-            own = _ln_kt(zeros, ones)
-            if below is None:
-                weighted, mix, rest = own, np.ones(len(keys)), np.full((2, len(keys)), 0.0)
-            else:
-                # a child's context is its parent's and one byte before it
-                parent = (below_keys >> 8 & (1 << 8 * d) - 1) << 8 | below_keys & 255
-                at = np.searchsorted(keys, parent)
-                rest = np.stack((zeros - np.bincount(at, below[0], len(keys)), ones - np.bincount(at, below[1], len(keys)))).clip(0)
-                children = np.bincount(at, below_weighted, len(keys)) + _ln_kt(*rest)
-                weighted = np.logaddexp(own, children) - math.log(2)
-                mix = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
-            levels.append(Level(np.unique(keys >> 8), keys, zeros.astype(np.float32), ones.astype(np.float32), mix.astype(np.float32), rest.astype(np.float32)))
-            below_keys, below_weighted, below = keys, weighted, (zeros, ones)
-        return cls(levels[::-1])
-
-    def reduced(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """n-grams cut to the longest context that has nodes, and its length."""
-        depth = np.zeros(len(grams), np.int64)
-        for d in range(1, len(self.levels)):
-            contexts = self.levels[d].contexts
-            if len(contexts):
-                mine = grams >> 8 & (1 << 8 * d) - 1
-                depth[contexts[np.minimum(np.searchsorted(contexts, mine), len(contexts) - 1)] == mine] = d
-        return grams & (1 << 8 * (depth + 1)) - 1, depth
-
-    def _compute(self, grams: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """log10 probability of each n-gram's last byte after the bytes before it, of which depth count."""
+        d = len(by_length) - 1
+        keys, zeros, ones = _nodes(*by_length[d])
+        level, weighted = _level(keys, zeros, ones)
+        return cls([*(_above(_upwards(keys, d, weighted, zeros, ones), d - 1) if d else []), level])
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each n-gram's last byte after the bytes before it."""
         total = np.zeros(len(grams))
         byte = grams & 255
         for k in range(8):
             place, bit = (1 << k) | byte >> (8 - k), byte >> (7 - k) & 1
-            # from the root down: each level's share of what is left, until a context has no node
+            # from the root down: each level's share of what is left, until a context was never seen
             p, left, open_ = np.zeros(len(grams)), np.ones(len(grams)), np.ones(len(grams), bool)
-            ra = rb = np.zeros(len(grams))
             for d, level in enumerate(self.levels):
                 key = ((grams >> 8 & (1 << 8 * d) - 1) << 8 | place)
                 at = np.minimum(np.searchsorted(level.keys, key), max(len(level.keys) - 1, 0))
-                there = open_ & (depth >= d) & (level.keys[at] == key) if len(level.keys) else np.zeros(len(grams), bool)
-                ends = open_ & ~there
-                p += np.where(ends, left * (np.where(bit == 1, rb, ra) + 0.5) / (ra + rb + 1), 0)
+                there = open_ & (level.keys[at] == key) if len(level.keys) else np.zeros(len(grams), bool)
+                p += np.where(open_ & ~there, left / 2, 0)
                 open_ = there
                 if not open_.any():
                     break
-                a, b = level.zeros[at].astype(float), level.ones[at].astype(float)
+                a, b = level.zeros[at], level.ones[at]
                 own = np.where(there, level.own[at], 0)
                 p += np.where(there, left * own * (np.where(bit == 1, b, a) + 0.5) / (a + b + 1), 0)
                 left = left * np.where(there, 1 - own, 1)
-                ra, rb = level.rest[0][at].astype(float), level.rest[1][at].astype(float)
             total += np.log10(np.maximum(p, 1e-300))
         return total
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each n-gram's last byte. Scores once taken are kept, up to a bound."""
-        which, distinct = pd.factorize(codes)
-        cut, depth = self.reduced(distinct)
-        tagged, back = np.unique(depth << 56 | cut, return_inverse=True)
-        if len(self.known) > MAX_KNOWN:
-            self.known, self.values = self.known[:0], self.values[:0]
-        at = np.searchsorted(self.known, tagged)
-        new = np.r_[self.known, -1][at] != tagged
-        if new.any():
-            add, where = tagged[new], at[new]
-            self.values = np.insert(self.values, where, self._compute(add & (1 << 56) - 1, add >> 56))
-            self.known = np.insert(self.known, where, add)
-            at = np.searchsorted(self.known, tagged)
-        return self.values[at][back][which]
-
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -211,8 +204,31 @@ def _cut(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.r_[start[1:], len(buckets)] if len(start) else start
 
 
+def _coded(texts: list, learn: list[bool]):
+    """Slice by slice: places of the bytes among the slice's distinct n-grams, these, their learned counts, and how many bytes each text has."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size < SLICE_CHARS):
+            size += len(texts[to] or "")
+            to += 1
+        codes, sizes = gram_codes([words_of(t) for t in texts[at:to]])
+        which, distinct = pd.factorize(codes)
+        taught = np.bincount(which[np.repeat(np.array(learn[at:to], bool), sizes)], minlength=len(distinct))
+        yield which.astype(np.int32), distinct, taught, sizes
+        at = to
+
+
+def _gram_order(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted n-grams by bucket, and their buckets: one for all that share the last SPLIT bytes of their context."""
+    ends = (grams >> 8 & (1 << 8 * SPLIT) - 1).astype(np.uint64)
+    mixed = ((ends * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(mixed, kind="stable")
+    return order, mixed[order]
+
+
 def ask(texts: list, learn: list[bool], buckets: int):
-    """What a group sends: (bucket, kind, keys, counts) for its words (kind 0) and the n-grams it learns from (kind 1)."""
+    """What a group sends: (bucket, kind, keys, counts) for its words (kind 0) and n-grams (kind 1), with how often it learns from each."""
     index = _Numbered()
     rows = [np.fromiter(map(index.__getitem__, words_of(t)), np.int32) for t in texts]
     taught = [r for r, ok in zip(rows, learn, strict=True) if ok]
@@ -222,23 +238,12 @@ def ask(texts: list, learn: list[bool], buckets: int):
     for a, b in zip(*_cut(bucket), strict=True):
         yield int(bucket[a]), 0, keys[a:b], counts[a:b]
     del index, rows, taught
-    found: dict[int, np.ndarray] = {}
-    held, parts = 0, []
-    for t, ok in zip([*texts, None], [*learn, False], strict=True):
-        if ok:
-            parts.append(words_of(t))
-            held += len(t or "")
-        if parts and (t is None or held > SLICE_CHARS):
-            codes, _ = gram_codes(parts)
-            which, distinct = pd.factorize(codes)
-            found[len(found)] = (distinct, np.bincount(which))
-            held, parts = 0, []
+    found = [(distinct, n) for _, distinct, n, _ in _coded(texts, learn)]
     if found:
-        grams, at = np.unique(np.concatenate([g for g, _ in found.values()]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([c for _, c in found.values()])).astype(np.int64)
-        mixed = (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(mixed, kind="stable")
-        grams, counts, mixed = grams[order].astype(np.uint64), counts[order], mixed[order]
+        grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
+        order, mixed = _gram_order(grams, buckets)
+        grams, counts = grams[order], counts[order]
         for a, b in zip(*_cut(mixed), strict=True):
             yield buckets + int(mixed[a]), 1, grams[a:b], counts[a:b]
 
@@ -249,43 +254,33 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 
 
 def _answers(asked: pa.Table) -> pa.Table:
-    """Sums of a bucket: for words an answer to each group; for n-grams the sums."""
+    """Sums of a bucket: for words an answer to each group; for n-grams the sums, where each group's are among them, and what shorter contexts get."""
     groups, kinds = asked.column("group").to_pylist(), asked.column("kind").to_pylist()
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in asked.column("keys")]
+    keys = [np.frombuffer(x.as_py(), np.int64 if kinds[0] else np.uint64) for x in asked.column("keys")]
     counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in asked.column("counts")])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(at, counts, len(distinct)).astype(np.int64)
     bucket = asked.column("bucket")[0].as_py()
     if kinds[0] == 1:
-        rows = [(GRAMS_OF, bucket, int(totals.sum()), len(totals), distinct.tobytes(), totals.tobytes())]
+        _, (parents, *sums) = _subtrees(distinct[totals > 0], totals[totals > 0], SPLIT)
+        rows = [(GRAMS_OF, bucket, 0, 0, distinct.tobytes(), totals.tobytes()), (UPPER_OF, bucket, 0, 0, parents.tobytes(), np.concatenate(sums).tobytes())]
+        told = at.astype(np.int32)
     else:
         rows = [(TOTALS_OF, bucket, int(totals.sum()), int((totals > 0).sum()), None, None)]
-        ends = np.cumsum(list(map(len, keys)))
-        rows += [(g, bucket, 0, 0, None, totals[at[e - len(k) : e]].tobytes()) for g, k, e in zip(groups, keys, ends.tolist(), strict=True)]
+        told = totals[at]
+    ends = np.cumsum(list(map(len, keys)))
+    rows += [(g, bucket, 0, 0, None, told[e - len(k) : e].tobytes()) for g, k, e in zip(groups, keys, ends.tolist(), strict=True)]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["group", "bucket", "tokens", "types", "keys", "counts"])
 
 
-def _tree(answers: DataFrame) -> ContextTree:
-    """The tree of the n-grams whose contexts are frequent enough; the driver gets the bytes of at most MAX_CONTEXTS contexts of a length."""
-
-    def unpack(batches):
-        for batch in batches:
-            for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.uint64).astype(np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], names=["gram", "n"])
-
-    grams = answers.where(F.col("group") == GRAMS_OF).select("keys", "counts").mapInArrow(unpack, "gram bigint, n bigint")
-    total = answers.where(F.col("group") == GRAMS_OF).agg(F.sum("tokens")).first()[0] or 0
-    by_length = []
-    for d in range(DEPTH + 1):
-        cut = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")) if d < DEPTH else grams
-        cut = cut.withColumn("context", F.shiftright("gram", 8))
-        if d:
-            often = cut.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= F.lit(total / MAX_CONTEXTS)).select("context")
-            cut = cut.join(F.broadcast(often), "context")
-        found = cut.select("gram", "n").toPandas()
-        by_length.append((found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
-    return ContextTree.build(by_length)
+def _upper(answers: DataFrame) -> list[Level]:
+    """Levels of the contexts shorter than SPLIT, added up in the order of the buckets."""
+    sent = sorted(answers.where(F.col("group") == UPPER_OF).select("bucket", "keys", "counts").collect())
+    keys = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in sent)])
+    sums = np.concatenate([np.empty((3, 0)), *(np.frombuffer(r["counts"], np.float64).reshape(3, -1) for r in sent)], axis=1)
+    parents, at = np.unique(keys, return_inverse=True)
+    return _above((parents, *(np.bincount(at, v, len(parents)) for v in sums)), SPLIT - 1)
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -310,37 +305,53 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     answers = materialise(rows.groupBy("group").applyInArrow(send, ASKED).groupBy("bucket").applyInArrow(_answers, ANSWER), "lm")
     tokens, types = answers.where(F.col("group") == TOTALS_OF).agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = tokens or 0, types or 0
-    tree = spark.sparkContext.broadcast(_tree(answers))
+    upper = spark.sparkContext.broadcast(_upper(answers))
     unit = math.log10(tokens + types + 1)
 
+    def score_grams(part: pa.Table) -> pa.Table:
+        """A bucket's n-grams are scored once, and each group gets those of its own."""
+        groups = part.column("group").to_pylist()
+        own = groups.index(GRAMS_OF)
+        grams, totals = (np.frombuffer(part.column(c)[own].as_py(), np.int64) for c in ("keys", "counts"))
+        levels, _ = _subtrees(grams[totals > 0], totals[totals > 0], SPLIT)
+        logs = ContextTree([*upper.value, *levels]).score(grams)
+        told = [(g, logs[np.frombuffer(x.as_py(), np.int32)].tobytes()) for g, x in zip(groups, part.column("counts"), strict=True) if g >= 0]
+        bucket = [part.column("bucket")[0].as_py()] * len(told)
+        return pa.table([pa.array([g for g, _ in told], pa.int64()), pa.array(bucket, pa.int64()), pa.array([x for _, x in told], pa.binary())], names=["group", "bucket", "counts"])
+
     def score(part: pa.Table, heard: pa.Table) -> pa.Table:
-        model: ContextTree = tree.value
         texts = part.column("text").to_pylist()
         index = _Numbered()
         words = [np.fromiter(map(index.__getitem__, words_of(t)), np.int32) for t in texts]
         told = sorted(zip(heard.column("bucket").to_pylist(), heard.column("counts"), strict=True), key=lambda x: x[0]) if texts else []
-        n = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(c.as_py(), np.int64) for _, c in told)])
+        n = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(c.as_py(), np.int64) for b, c in told if b < buckets)])
+        logs_of = np.concatenate([np.empty(0), *(np.frombuffer(c.as_py(), np.float64) for b, c in told if b >= buckets)])
+        del told
         _, _, place = _by_bucket(_hashes(list(index)), buckets)
         n = n[place] if len(place) else n
         logs, known = np.log10(n + 1.0), n > 0
         base = [float(logs[w].sum()) - len(w) * unit for w in words]
         n_known = [int(known[w].sum()) for w in words]
+        sizes_of = list(map(len, words))
+        del index, words, place, n, logs, known
+        slices = [(which, distinct, sizes) for which, distinct, _, sizes in _coded(texts, [False] * len(texts))]
+        grams, at = np.unique(np.concatenate([np.empty(0, np.int64), *(d for _, d, _ in slices)]), return_inverse=True)
+        order, _ = _gram_order(grams, buckets)
+        values = np.empty(len(grams))
+        values[order] = logs_of
         scores: list[float] = []
-        at = 0
-        while at < len(texts):
-            to, held_ = at, 0
-            while to < len(texts) and (to == at or held_ < SLICE_CHARS):
-                held_ += len(texts[to] or "")
-                to += 1
-            codes, sizes = gram_codes([words_of(t) for t in texts[at:to]])
-            starts = np.cumsum(sizes) - sizes
-            scores += np.add.reduceat(model.score(codes), starts).tolist()
-            at = to
+        start = 0
+        for which, distinct, sizes in slices:
+            here = values[at[start : start + len(distinct)]][which]
+            scores += np.add.reduceat(here, np.cumsum(sizes) - sizes).tolist()
+            start += len(distinct)
         return pa.table(
-            [part.column("doc_id"), part.column("held_out"), pa.array(list(map(len, words)), pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())],
+            [part.column("doc_id"), part.column("held_out"), pa.array(sizes_of, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    told = answers.where(F.col("group") >= 0).select("group", "bucket", "counts")
+    of_grams = answers.where((F.col("bucket") >= buckets) & (F.col("group") != UPPER_OF)).select("group", "bucket", "keys", "counts")
+    told = answers.where((F.col("group") >= 0) & (F.col("bucket") < buckets)).select("group", "bucket", "counts")
+    told = told.unionByName(of_grams.groupBy("bucket").applyInArrow(score_grams, "group bigint, bucket bigint, counts binary"))
     scored = rows.drop("learn").groupBy("group").cogroup(told.groupBy("group")).applyInArrow(score, SCORED)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("bigint"))

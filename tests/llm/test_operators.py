@@ -276,6 +276,20 @@ def test_lm_counts_and_scores(spark, docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_lm_keeps_every_context(spark, docs):
+    """Scores are those of the tree of all learned n-grams, those seen once in the corpus among them."""
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    codes, _ = lm.gram_codes([lm.words_of(t) for i, t in docs if crc(i, 7) != 2])
+    grams, n = np.unique(codes, return_counts=True)
+    by_length = []
+    for d in range(lm.DEPTH + 1):
+        keys, at = np.unique(grams & (1 << 8 * (d + 1)) - 1, return_inverse=True)
+        by_length.append((keys, np.bincount(at, n)))
+    tree = lm.ContextTree.build(by_length)
+    for i, t in docs:
+        assert math.isclose(got[i], tree.score(lm.gram_codes([lm.words_of(t)])[0]).sum(), rel_tol=1e-6)
+
+
 def test_context_tree_against_recursion(monkeypatch):
     """The batch tree gives what the definition of context-tree weighting gives, by recursion over contexts."""
     monkeypatch.setattr(lm, "DEPTH", 2)
