@@ -60,11 +60,9 @@ RULES = (
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    hint = F.coalesce(text, F.lit("")).rlike("(?i)licens|permi|warrant|rights reserved|redistribut|in the hope")
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\r\n]+|(?<=\.)\s+")
     clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\.(?![0-9])|[^a-z0-9.]+", " "), " +", " ")))
-    ids = F.filter(F.transform(clean, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
-    return F.when(hint, ids).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(clean, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
 
 
 def licences_of(ids: Column) -> Column:

@@ -358,6 +358,11 @@ def test_licences(spark, odd, empty):
     assert license_scan.scan_licences(odd).count() == len(ODD) and license_scan.scan_licences(empty).count() == 0
 
 
+def test_licences_whatever_stands_between_words(spark):
+    rows = [(i, t) for i, t in enumerate(["All  rights reserved.", "All rights\treserved", "All Rights-Reserved"])]
+    assert {r.doc_id: r.licences for r in license_scan.scan_licences(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: ["proprietary"] for i in range(3)}
+
+
 # 10
 
 
