@@ -1,8 +1,9 @@
 """Operator 9, licence scans, in DataFrame functions only.
 
-A text is cut into sentences at line ends and after full stops, each sentence
-is normalised (lower case, letters, digits and dots of versions kept, all else
-one space) and looked up in the table of known licence sentences. The
+A text is cut into lines and after full stops and normalised (lower case,
+letters, digits and dots of versions kept, all else one space). A known licence
+sentence is a whole line or several lines that it is wrapped over, with no blank
+line or full stop inside; at a place the longest counts. The
 identifiers found, in the text's order, are matched against ordered rules: a
 rule is a sequence of identifiers that must appear in a row; at a place the
 first rule of the table that matches wins, and longer rules stand before the
@@ -37,9 +38,32 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "apache2-comply",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
     "all rights reserved": "reserved",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-terms",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21-terms",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-terms",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license": "apache2-header",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-terms",
+    "this is free and unencumbered software released into the public domain": "unlicense",
 }
 # Ordered rules, sequences of sentence identifiers and the licence each means.
 RULES = (
+    (("reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
+    (("reserved", "bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
+    (("mit-name", "mit-grant", "mit-notice", "as-is"), "MIT"),
+    (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("mit-grant", "mit-notice", "as-is"), "MIT"),
+    (("gpl2-terms", "gpl-hope"), "GPL-2.0-or-later"),
+    (("agpl3-terms", "gpl-hope"), "AGPL-3.0-or-later"),
     (("gpl3-terms", "gpl-hope"), "GPL-3.0-or-later"),
     (("apache2-name", "apache2-comply"), "Apache-2.0"),
     (("mit-grant", "as-is"), "MIT"),
@@ -54,15 +78,26 @@ RULES = (
     (("ccbysa4-name",), "CC-BY-SA-4.0"),
     (("bsd-grant",), "BSD"),
     (("reserved",), "proprietary"),
+    (("gpl2-terms",), "GPL-2.0-or-later"),
+    (("lgpl21-terms",), "LGPL-2.1-or-later"),
+    (("agpl3-terms",), "AGPL-3.0-or-later"),
+    (("apache2-header",), "Apache-2.0"),
+    (("isc-grant",), "ISC"),
+    (("mpl2-terms",), "MPL-2.0"),
+    (("unlicense",), "Unlicense"),
 )
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\r\n]+|(?<=\.)\s+")
-    clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\.(?![0-9])|[^a-z0-9.]+", " "), " +", " ")))
-    return F.filter(F.transform(clean, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
+    # one line end where a sentence may go on, two where it can't
+    lines = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=\.)\s+", "\n\n"), r"\r\n?", "\n")
+    clean = F.regexp_replace(F.regexp_replace(lines, r"\.(?![0-9])|[^a-z0-9.\n]+", " "), " +", " ")
+    clean = F.trim(F.regexp_replace(clean, " ?\n ?", "\n"))
+    any_of = "|".join(s.replace(".", r"\.").replace(" ", "[ \n]") for s in sorted(SENTENCES, key=len, reverse=True))
+    found = F.regexp_extract_all(clean, F.lit(f"(?<![^\n])(?:{any_of})(?![^\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def licences_of(ids: Column) -> Column:

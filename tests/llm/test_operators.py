@@ -358,6 +358,45 @@ def test_licences(spark, odd, empty):
     assert license_scan.scan_licences(odd).count() == len(ODD) and license_scan.scan_licences(empty).count() == 0
 
 
+def test_licences_in_full_and_wrapped(spark):
+    """The genuine texts, wrapped, bare and as comments; a blank line ends a sentence."""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    bsd = """All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+    rows = [(1, mit), (2, " * " + gpl.replace("\n", "\r\n * ")), (3, bsd), (4, "Released under\n\nthe MIT License"), (5, "words before\nReleased under the\nMIT License\nwords after")]
+    found = {r.doc_id: r for r in license_scan.scan_licences(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: r.licences for i, r in found.items()} == {1: ["MIT"], 2: ["GPL-3.0-or-later"], 3: ["BSD-2-Clause"], 4: [], 5: ["MIT"]}
+    assert found[1].sentence_ids == ["mit-grant", "mit-notice", "as-is"] and found[2].sentence_ids == ["gpl3-terms", "gpl-hope"]
+
+
 def test_licences_whatever_stands_between_words(spark):
     rows = [(i, t) for i, t in enumerate(["All  rights reserved.", "All rights\treserved", "All Rights-Reserved"])]
     assert {r.doc_id: r.licences for r in license_scan.scan_licences(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: ["proprietary"] for i in range(3)}
