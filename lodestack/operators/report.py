@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import words
 
-# Severities, gravest first, and rules of operators that a modern compiler treats otherwise.
+# Severities, gravest first, and rules of operators and statements that a modern compiler treats otherwise.
 SEVERITIES = ("blocked", "ignored", "rework", "platform")
-RULES = {"IOCTL$": "ignored", "ERDEV": "ignored", "ERDEV$": "ignored", "FILEATTR": "ignored", "FRE": "ignored", "SETMEM": "ignored"}
+RULES = (
+    dict.fromkeys("CALLS IOCTL IOCTL$ ERDEV ERDEV$ FILEATTR FRE SETMEM SIGNAL_EVENT TRON TROFF DATE$_SET TIME$_SET PEN_EVENT PEN_FUNC PLAY_EVENT_N UEVENT WIDTH_LPRINT".split(), "ignored")
+    | dict.fromkeys("DEF_FN END_DEF".split(), "rework")
+    | dict.fromkeys("CHAIN RUN_FILE LPRINT LOCK UNLOCK".split(), "platform")
+)
 LIBRARY_ROUTINES = ("ABSOLUTE", "INTERRUPT", "INTERRUPTX")
 DEVICES = ("LPT1", "LPT2", "LPT3", "CON", "KYBD", "SCRN")
 

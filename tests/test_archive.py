@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import mbf, text, words
-from lodestack.operators import symbols, triage
+from lodestack.operators import report, symbols, triage
 from lodestack.queries import ORACLE_SQL, QUERIES
 from lodestack.sources import binary
 from lodestack.streaming import files as stream
@@ -97,3 +97,11 @@ def test_numeric_literals(spark):
     cases = [("1", "integer"), ("32768", "long"), ("1.5", "single"), ("1E3", "single"), ("1D3", "double"), ("5#", "double"), ("5!", "single"), ("5&", "long"), ("5%", "integer"), ("&HFFFF", "integer"), ("&H10000", "long"), ("&H1E", "integer"), ("&O17", "integer")]
     found = spark.createDataFrame(cases, "t string, want string").select("t", "want", text.numtype(F.col("t")).alias("got")).collect()
     assert all(r.want == r.got for r in found), [r for r in found if r.want != r.got]
+
+
+def test_lint_rules_of_the_survey(spark):
+    names = ["PEN_FUNC", "UEVENT", "DEF_FN", "CHAIN", "TRON", "ADD"]
+    found = spark.createDataFrame([("f", 1, i, m) for i, m in enumerate(names)], "file string, line int, pos int, mnemonic string")
+    got = {r.mnemonic: r.severity for r in report.lint(found, report.rule_table(spark)).collect()}
+    assert got == {"PEN_FUNC": "ignored", "UEVENT": "ignored", "DEF_FN": "rework", "CHAIN": "platform", "TRON": "ignored"}
+    assert len(report.RULES) == 25
