@@ -40,7 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import mark_repeats
+from .common import materialise
+from .exact_dedup import find_repeats
 
 REVISIT_BYTES = 1000
 #: Compressed bytes after which an archive is closed.
@@ -192,7 +193,9 @@ def plan_records(pages: DataFrame, n_rows: int | None = None) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "sha1": F.sha1("payload"), "key": F.sha2("payload", 256)})
     short = rows.where(F.col("payload_bytes") < REVISIT_BYTES).withColumn("keep_id", F.col("page_id"))
-    long = mark_repeats(rows.where(F.col("payload_bytes") >= REVISIT_BYTES), "key", "page_id", n_rows, F.max).drop("group_size")
+    long = rows.where(F.col("payload_bytes") >= REVISIT_BYTES)
+    keys = materialise(long.select("page_id", "key"), "payloads")
+    long = find_repeats(keys, "key", "page_id", n_rows, F.max).mark(long, "key", "page_id").drop("group_size")
     is_first = F.col("page_id").eqNullSafe(F.col("keep_id"))
     return short.unionByName(long).select(
         "page_id", "url", "payload_bytes", "sha1",

@@ -69,10 +69,15 @@ def test_exact_dedup_brute_force(odd, empty):
     assert exact_dedup.mark_duplicates(empty).count() == 0
 
 
-def test_exact_dedup_hot_group(spark):
+@pytest.mark.parametrize("most", [exact_dedup.BROADCAST_ROWS, 0])
+def test_exact_dedup_hot_group(spark, monkeypatch, most):
+    """Alike whether the filter and the groups are broadcast or joined by shuffles."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", most)
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_dedup.mark_duplicates(rows).where("group_size > 1").agg(F.count(F.lit(1)), F.max("group_size"), F.sum(F.col("kept").cast("int")), F.max("keep_id")).first()
     assert tuple(got) == (1334, 1334, 1, 0)
+    assert exact_dedup.mark_duplicates(rows).where("group_size = 1 and kept and keep_id = doc_id").count() == 2666
+    assert exact_dedup.drop_duplicates(rows.unionByName(rows)).count() == 2667
 
 
 # 2
