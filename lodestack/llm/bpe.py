@@ -26,14 +26,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, text_slices
+from .common import held, releasing, text_slices
 
-MAX_WORDS = 500_000
+MAX_WORDS = 120_000
 GAP = np.int64(-1)
 
 
@@ -240,11 +240,12 @@ def word_table(path: str) -> WordTable:
 def encode_column(path: str):
     """Arrow UDF: text to the ids."""
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    @releasing
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = word_table(path)
         for texts in batches:
-            yield pd.Series([ids for part in text_slices(texts.tolist()) for ids in coder.encode_texts(part)], dtype=object)
+            yield pa.array([ids for part in text_slices(texts) for ids in coder.encode_texts(part)], pa.list_(pa.int32()))
 
     return encode
 
@@ -252,11 +253,12 @@ def encode_column(path: str):
 def decode_column(path: str):
     """Arrow UDF: ids to the text; null ids read as none."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    @releasing
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = word_table(path)
         for lists in batches:
-            yield pd.Series([coder.decode([] if x is None else x.tolist()) for x in lists], dtype=object)
+            yield pa.array([coder.decode(x.as_py() or []) for x in lists], pa.string())
 
     return decode
 
@@ -264,18 +266,21 @@ def decode_column(path: str):
 def encode_digests(path: str):
     """Arrow UDF: text to the number of ids, the digest of the ids and the digest of the text decoded from them."""
 
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    @releasing
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = word_table(path)
         name = coder.token_text.__getitem__
         for texts in batches:
             out = []
-            for part in text_slices(texts.tolist()):
+            for part in text_slices(texts):
                 for found in coder.encode_texts(part):
                     ids = found.tolist()
                     listed = hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest()
                     out.append((len(ids), listed, hashlib.sha256(coder.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            types = (pa.int64(), pa.string(), pa.string())
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = r"[\x20\x09-\x0D]+"
 #: Characters of text that a Python worker holds as words at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: Rows of a slice; their numbers fit 16 bits.
 MAX_ROWS = 50_000
 
@@ -49,6 +51,30 @@ def held(key, make):
     return _held[key]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library than glibc
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that no object uses back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that releases what it no longer uses when its task ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,19 +99,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHAR
         yield batch.slice(start)
 
 
-def text_slices(texts: list, limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """The same for a column: null reads as empty."""
-    part: list[str] = []
-    held = 0
-    for t in texts:
-        t = t or ""
-        if part and held + len(t) > limit:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t)
-    if part:
-        yield part
+def text_slices(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    """The same for a column, as strings: null reads as empty."""
+    for part in chunks(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", limit):
+        yield [t or "" for t in part.column("t").to_pylist()]
 
 
 import pyarrow.compute  # noqa: E402,F401  (pa.compute)

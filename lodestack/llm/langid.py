@@ -27,45 +27,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, text_slices
+from .common import chunks, held, releasing, text_slices
 
 DIM = 512
 #: About so many rows are learned from, chosen by a hash of the id.
 FIT_ROWS = 20_000
-MAX_GRAMS = 20_000
+MAX_GRAMS = 16_384
 #: Characters in work at a time.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 1_000_000
 UNKNOWN = "und"
-#: Letters are numbered below 2**20, so three fit a long.
-BITS = 20
+#: Cosines of unrelated vectors spread by 1 / sqrt(DIM); three times that is beyond chance.
+CHANCE = 3 / DIM**0.5
+#: Letters kept at a time.
+MAX_LETTERS = 4_096
+#: Code points are below 2**21, so three fit a long.
+BITS = 21
 
 
 class LetterSpace:
-    """Letter numbers and trigram vectors of a worker; the vectors are bounded and rebuilt when full."""
+    """Letter numbers and trigram vectors of a worker; letters' and trigrams' vectors are bounded and rebuilt when full."""
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
+        #: A letter's number is its code point, that of any other character 0; not asked yet: -1.
         self.number = np.full(0x110000, -1, np.int32)
-        self.letters: list[np.ndarray] = [self._vector(0)]
         self.reset()
 
     def _vector(self, code: int) -> np.ndarray:
         bits = np.random.Generator(np.random.Philox(key=code)).integers(0, 2, self.dim)
         return (2 * bits - 1).astype(np.float32)
 
+    def _letter(self, code: int) -> np.ndarray:
+        v = self.letters.get(code)
+        if v is None:
+            if len(self.letters) >= MAX_LETTERS:
+                self.letters.clear()
+            v = self.letters[code] = self._vector(code)
+        return v
+
     def reset(self) -> None:
         self.row: dict[int, int] = {}
+        self.letters: dict[int, np.ndarray] = {}
         self.vectors = np.empty((1024, self.dim), np.float32)
 
     def _numbers(self, codes: np.ndarray) -> np.ndarray:
         out = self.number[codes]
         if (new := np.unique(codes[out < 0])).size:
             for c in new.tolist():
-                if chr(c).isalpha():
-                    self.number[c] = len(self.letters)
-                    self.letters.append(self._vector(c))
-                else:
-                    self.number[c] = 0
+                self.number[c] = c if chr(c).isalpha() else 0
             out = self.number[codes]
         return out
 
@@ -80,7 +89,7 @@ class LetterSpace:
                 if k == len(self.vectors):
                     self.vectors = np.concatenate((self.vectors, np.empty_like(self.vectors)))
                 a, b, c = g >> 2 * BITS, g >> BITS & (1 << BITS) - 1, g & (1 << BITS) - 1
-                self.vectors[k] = np.roll(self.letters[a], 2) * np.roll(self.letters[b], 1) * self.letters[c]
+                self.vectors[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
             out[i] = k
         return out
 
@@ -129,17 +138,13 @@ def fit(train: DataFrame, rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
     share = min(1.0, rows / max(total, 1))
     sample = train.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("lang", "text")
 
+    @releasing
     def sums(batches):
-        space = letter_space()
-        for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            held: dict[str, np.ndarray] = {}
-            at = 0
-            for part in text_slices(texts, SLICE_CHARS):
-                for lang, v in zip(langs[at : at + len(part)], _unit(space.encode(part)), strict=True):
-                    held[lang] = held.get(lang, 0) + v.astype(np.float64)
-                at += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+        space, found = letter_space(), {}
+        for part in chunks(batches, "text", SLICE_CHARS):
+            for lang, v in zip(part.column("lang").to_pylist(), _unit(space.encode(part.column("text").to_pylist())), strict=True):
+                found[lang] = found.get(lang, 0) + v.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     parts = sample.mapInArrow(sums, "lang string, v array<double>")
     # a language's sum is a few hundred numbers, whatever was learned from
@@ -152,20 +157,21 @@ def predictor(prototypes: dict[str, np.ndarray]):
     names = sorted(prototypes)
     matrix = np.stack([prototypes[x] for x in names]).T if names else np.zeros((DIM, 1), np.float32)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    @releasing
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         space = letter_space()
         for texts in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for part in text_slices(texts.tolist(), SLICE_CHARS):
+            for part in text_slices(texts, SLICE_CHARS):
                 v = space.encode(part)
                 found = v.any(axis=1) & bool(names)
                 cosines = np.clip(_unit(v) @ matrix, 0, 1)
                 best = cosines.argmax(axis=1)
                 langs += [names[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), found.tolist(), strict=True)]
                 scores += np.where(found, cosines[np.arange(len(best)), best], 0.0).astype(float).tolist()
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return predict
 

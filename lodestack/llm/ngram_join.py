@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import chunks, held, materialise, release, releasing
 from .components import components
 from .exact_dedup import mark_repeats
 
@@ -52,9 +52,11 @@ WORDS = 5
 #: Similarity, as a fraction.
 PART, WHOLE = 80, 100
 RARE = 16
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_000_000
 LEAST_BUCKETS = 256
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+#: Hashes of words that a worker keeps.
+MAX_HASHES = 60_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -62,21 +64,18 @@ class _WordHash(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > MAX_HASHES:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_hash = _WordHash()
-
-
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Distinct shingles of a text as sorted 64-bit hashes."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("hashes", _WordHash).__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
     out = np.full(n, np.uint64(min(size, len(words))))
     for k in range(min(size, len(words))):
@@ -99,6 +98,7 @@ FOUND = "chunk bigint, bucket bigint, tokens binary, rows binary, counts binary,
 def _send(sets_of, buckets: int):
     """Mapper: (ids, sizes, sets) of slices to a directory row and the slices' tokens by bucket."""
 
+    @releasing
     def run(batches):
         task = TaskContext.get().partitionId()
         for k, (ids, sizes, sets) in enumerate(sets_of(batches)):
@@ -142,8 +142,12 @@ def _repeated(part: pa.Table) -> pa.Table:
                 hit = found[at] == mine
                 if hit.any():
                     out.append((c, bucket, mine[hit].tobytes(), np.frombuffer(rows.as_py(), np.uint16)[hit].tobytes(), counts[at[hit]].tobytes(), None, None, None))
+        tokens = every = again = found = counts = None
     columns = zip(*out, strict=True) if out else [[] for _ in _FOUND_TYPES]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
+    made = pa.table([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
+    out = columns = None
+    release()
+    return made
 
 
 LISTS = "doc_id bigint, n bigint, sig string, tokens binary, n_rare bigint"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import word_table
-from .common import chunks, materialise
+from .common import chunks, materialise, releasing
 
 LENGTH = 4096
 OPEN_BINS = 1024
@@ -84,6 +84,7 @@ class BestFit:
 def tokenised_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 1) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece, and its ids if asked for in ``with_ids``."""
 
+    @releasing
     def run(batches):
         coder = word_table(path)
         for part in chunks(batches, "text"):

@@ -21,12 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import chunks, releasing, text_slices
 
 #: About so many labelled rows are learned from and broadcast.
 FIT_ROWS = 4_000
@@ -38,7 +37,7 @@ SHARPNESS = 4
 GOOD = 0.7
 BLOCK = 512
 #: Characters in work at a time.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 1_000_000
 
 
 def _classes() -> np.ndarray:
@@ -109,16 +108,13 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     """labelled: doc_id, text, label (0 or 1), all to be learned from. The driver gets ``rows`` rows of counts, not texts."""
     labelled = labelled.where("label is not null and doc_id is not null")
 
+    @releasing
     def vectors(batches):
-        for batch in batches:
-            ids, labels, texts = (batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))
-            at = 0
-            for part in text_slices(texts, SLICE_CHARS):
-                for i in range(0, len(part), BLOCK):
-                    block = [x.astype(np.float16).tobytes() for x in counts_of(part[i : i + BLOCK])]
-                    here = slice(at + i, at + i + len(block))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[here], pa.int64()), pa.array(labels[here], pa.int32()), pa.array(block, pa.binary())], names=["doc_id", "label", "v"])
-                at += len(part)
+        for part in chunks(batches, "text", SLICE_CHARS):
+            for i in range(0, part.num_rows, BLOCK):
+                block = part.slice(i, BLOCK)
+                found = counts_of([t or "" for t in block.column("text").to_pylist()]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "v"])
 
     pdf = labelled.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text").mapInArrow(vectors, "doc_id bigint, label int, v binary").toPandas().sort_values("doc_id", kind="stable")
     labels = pdf["label"].to_numpy(float)
@@ -146,10 +142,11 @@ def scorer(model: Model):
 
     sent = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    @releasing
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.concatenate([np.empty(0), *(sent.value.score(part) for part in text_slices(texts.tolist(), SLICE_CHARS))]))
+            yield pa.array(np.concatenate([np.empty(0), *(sent.value.score(part) for part in text_slices(texts, SLICE_CHARS))]))
 
     return score
 
