@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 from lodestack.llm import exact_dedup, langid, ngram_join, packing, quality
 from lodestack.llm.common import in_thirds, materialise, table
 
+#: Characters from which a text has to be above chance in some language.
+SHORT = 100
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a letter, and those in none of the languages learned: no prototype's cosine is above what chance gives.
+
+    Texts of under ``SHORT`` characters hold too few trigrams to be told from
+    chance, and stay if they have a letter. With nothing to learn from, all texts
+    with a letter stay. An empty table stays empty.
+    """
     prototypes = langid.fit(docs.where(in_thirds("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    letters = F.col("text").rlike(r"\p{L}")
+    if not prototypes:
+        return docs.where(letters)
     guess = langid.predictor(prototypes)(F.col("text"))
-    return docs.where(guess["lang_pred"] != langid.UNKNOWN)
+    named = (guess["lang_pred"] != langid.UNKNOWN) & ((guess["score"] >= langid.CHANCE) | (F.length("text") < SHORT))
+    return docs.where(named)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
