@@ -5,37 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 # The largest magnitudes.
 SINGLE_MAX, DOUBLE_MAX = 1.7014117331926443e38, 1.7014118346046923e38
 
 
 def decode(data: Column, bits: int) -> Column:
     """bits: 24 or 56. Null for another length."""
-    size = (bits + 8) // 8
-    raw = F.hex(data)
-    body = F.conv(F.concat(*[F.substring(raw, 2 * i - 1, 2) for i in range(size - 1, 0, -1)]), 16, 10).cast("bigint")
-    exponent = F.conv(F.substring(raw, 2 * size - 1, 2), 16, 10).cast("int")
-    top = 1 << bits - 1
-    mantissa = body.bitwiseAND(F.lit(top - 1)).bitwiseOR(F.lit(top)).cast("double")
-    sign = F.when(body.bitwiseAND(F.lit(top)) != 0, -1.0).otherwise(1.0)
-    value = F.when(exponent == 0, 0.0).otherwise(sign * mantissa * F.pow(F.lit(2.0), exponent - 129 - bits + 1))
-    return F.when(F.octet_length(data) == size, value)
+    size, top = (bits + 8) // 8, 1 << bits - 1
+
+    def value(digits: Column) -> Column:  # the exponent's byte first
+        exponent = F.conv(F.substring(digits, 1, 2), 16, 10).cast("int")
+        return bind(F.conv(F.substring(digits, 3, 2 * size - 2), 16, 10).cast("bigint"), lambda body: F.when(exponent == 0, 0.0).otherwise(signed(body) * F.pow(F.lit(2.0), exponent - 129 - bits + 1)))
+
+    def signed(body: Column) -> Column:
+        mantissa = body.bitwiseAND(F.lit(top - 1)).bitwiseOR(F.lit(top)).cast("double")
+        return F.when(body.bitwiseAND(F.lit(top)) != 0, -mantissa).otherwise(mantissa)
+
+    flipped = lambda h: F.array_join(F.reverse(F.regexp_extract_all(h, F.lit(".."), 0)), "")
+    return bind(F.hex(data), lambda h: F.when(F.length(h) == 2 * size, bind(flipped(h), value)))
 
 
 def encode_hex(value: Column, bits: int) -> Column:
     """Hex digits of the bytes; null for what has none (see error). Singles are narrowed first."""
-    x = value.cast("float").cast("double") if bits == 24 else value
-    size = (bits + 8) // 8
-    guess = F.floor(F.log2(F.abs(x)))
+    size, digits, top = (bits + 8) // 8, min(bits, 53), 1 << bits - 1
     two = lambda e: F.pow(F.lit(2.0), e)
-    e = F.when(F.abs(x) < two(guess), guess - 1).when(F.abs(x) >= two(guess + 1), guess + 1).otherwise(guess)
-    digits = min(bits, 53)
-    mantissa = F.shiftleft((F.abs(x) / two(e - (digits - 1))).cast("bigint"), bits - digits)
-    top = 1 << bits - 1
-    body = mantissa.bitwiseAND(F.lit(top - 1)).bitwiseOR(F.when(x < 0, F.lit(top)).otherwise(F.lit(0)))
-    parts = [F.shiftrightunsigned(body, 8 * i).bitwiseAND(F.lit(255)) for i in range(size - 1)] + [e + 129]
-    text = F.lower(F.concat(*[F.lpad(F.hex(p.cast("bigint")), 2, "0") for p in parts]))
-    return F.when(error(value, bits).isNull(), F.when((x == 0) | (e + 129 <= 0), "00" * size).otherwise(text))
+
+    def exponent(x: Column) -> Column:
+        return bind(F.floor(F.log2(x)), lambda g: F.when(x < two(g), g - 1).when(x >= two(g + 1), g + 1).otherwise(g))
+
+    def written(x: Column, e: Column, negative: Column) -> Column:
+        mantissa = F.shiftleft((x / two(e - (digits - 1))).cast("bigint"), bits - digits)
+        body = mantissa.bitwiseAND(F.lit(top - 1)).bitwiseOR(F.when(negative, F.lit(top)).otherwise(F.lit(0)))
+        # the exponent's byte first, then all turned round
+        whole = F.concat(F.lpad(F.hex(e + 129), 2, "0"), F.lpad(F.hex(body), 2 * size - 2, "0"))
+        text = F.lower(F.array_join(F.reverse(F.regexp_extract_all(whole, F.lit(".."), 0)), ""))
+        return F.when((x == 0) | (e + 129 <= 0), "00" * size).otherwise(text)
+
+    narrowed = value.cast("float").cast("double") if bits == 24 else value
+    made = bind(narrowed, lambda x: bind(F.abs(x), lambda a: bind(exponent(a), lambda e: F.when(a == 0, "00" * size).otherwise(written(a, e, x < 0)))))
+    return F.when(error(value, bits).isNull(), made)
 
 
 def error(value: Column, bits: int) -> Column:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value of the language: names, with the suffix of their type.
 NAME = r"[A-Za-z][A-Za-z0-9_.]*[%&!#$]?"
 #: Where lines end in text that was read as Latin-1.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85]"
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with value computed once: what a lambda binds isn't written out again at each place."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def names(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NAME), 0)
 
@@ -52,9 +58,11 @@ def long_literal(value: Column, base: int) -> Column:
     return F.when(fits, F.concat(text, F.lit("&"))).otherwise(text)
 
 
-def aligned(text: Column, column: Column, comment: Column) -> Column:
-    """text, then comment at its column, or after one blank if the text is longer."""
-    return F.concat(F.rpad(text, F.greatest(column, F.length(text) + 1).cast("int"), " "), comment)
+def aligned(text: Column, column: Column, comment: Column, base: Column | int = 0, colon: Column | bool = False) -> Column:
+    """text, then comment at its column, counted from base (an indent, or a label's width). Without room it follows at once; a colon keeps one blank."""
+    gap = colon.cast("int") if isinstance(colon, Column) else F.lit(int(colon))
+    code = F.concat(text, F.repeat(F.lit(":"), gap))
+    return bind(code, lambda c: F.concat(F.rpad(c, F.greatest(column - base, F.length(c) + gap).cast("int"), " "), comment))
 
 
 def looks_like_text(head: Column) -> Column:
@@ -77,17 +85,34 @@ def hexdump(data: Column) -> Column:
     return F.transform(starts, row)
 
 
-def deftype_ranges(letters: Column) -> Column:
-    """Sorted letter numbers (A is 0) as ranges, A-C, F."""
-    # a letter opens a range if the one before is missing, and closes it if the next is
-    opens = F.filter(letters, lambda x: ~F.array_contains(letters, x - 1))
-    closes = F.filter(letters, lambda x: ~F.array_contains(letters, x + 1))
-    name = lambda x: F.char(x + 65)
-    return F.array_join(F.zip_with(opens, closes, lambda a, b: F.when(a == b, name(a)).otherwise(F.concat(name(a), F.lit("-"), name(b)))), ", ")
+def letter_bits(head: Column, tail: Column) -> Column:
+    """The two masks of a record as 26 bits of a number, A the highest of 32: A to P from head, Q to Z from the top of tail."""
+    return F.shiftleft(head.cast("bigint"), 16).bitwiseOR(tail.cast("bigint").bitwiseAND(F.lit(0xFFC0)))
+
+
+def _letters(bits: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(25)), lambda i: F.call_function("shiftright", bits, 31 - i).bitwiseAND(F.lit(1)) == 1)
 
 
 def mask_letters(head: Column, tail: Column) -> Column:
-    """Letters of the two masks: A to P from the top bit of head, Q to Z from the top bit of tail."""
-    at = F.sequence(F.lit(0), F.lit(25))
-    power = lambda i: F.pow(F.lit(2.0), i).cast("bigint")
-    return F.filter(at, lambda i: F.when(i < 16, F.floor(head / power(15 - i)) % 2).otherwise(F.floor(tail / power(31 - i)) % 2) == 1)
+    """Letter numbers (A is 0) of the two masks."""
+    return bind(letter_bits(head, tail), _letters)
+
+
+def deftype_ranges(head: Column, tail: Column) -> Column:
+    """The masks' letters as ranges, A-C, F: a letter opens one if the bit before is off, and closes it if the bit after is."""
+    name = lambda x: F.char(x + 65)
+    show = lambda a, b: F.when(a == b, name(a)).otherwise(F.concat(name(a), F.lit("-"), name(b)))
+
+    def ranges(m: Column) -> Column:
+        opens = m.bitwiseAND(F.bitwise_not(F.shiftright(m, 1)))
+        closes = m.bitwiseAND(F.bitwise_not(F.shiftleft(m, 1)))
+        return F.array_join(F.zip_with(_letters(opens), _letters(closes), show), ", ")
+
+    return bind(letter_bits(head, tail), ranges)
+
+
+def deftype_state(head: Column, tail: Column, default: int = 3) -> Column:
+    """Type of each of the 26 letters by a record's masks: the one that tail ends in, or the language's own."""
+    found = mask_letters(head, tail)
+    return F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.when(F.array_contains(found, i), tail.bitwiseAND(F.lit(63))).otherwise(F.lit(default)))

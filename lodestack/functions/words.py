@@ -11,28 +11,9 @@ ACCESS = {11: "LOAD", 12: "STORE", 13: "DECL", 14: "ARRAY", 15: "ARRSET", 16: "A
 SUFFIX = {0: "", 4: "%", 8: "&", 12: "!", 16: "#", 20: "$"}
 SUFFIX_LATER = {0: "", 4: "%", 8: "&", 12: "!", 16: "#", 20: "@", 24: "$"}
 CONVERT = {1: "CINT", 2: "CLNG", 3: "CSNG", 4: "CDBL"}
-OPEN_MODES = {1: "INPUT", 2: "OUTPUT", 4: "RANDOM", 8: "APPEND", 32: "BINARY"}
 OPEN_ACCESS = {1: "READ", 2: "WRITE", 3: "READ WRITE"}
 OPEN_LOCKS = {16: "LOCK READ WRITE", 32: "LOCK WRITE", 48: "LOCK READ", 64: "SHARED"}
 DEFTYPES = {1: "DEFINT", 2: "DEFLNG", 3: "DEFSNG", 4: "DEFDBL", 5: "DEFSTR"}
-# Operators and functions, whose words follow each other from 0100 on; - is unassigned.
-FIRST_EXPRESSION = 256
-EXPRESSIONS = """
-ADD AND DIVIDE EQ EQV ABS ASC ATN - CHR$ COMMAND$ COS CSRLIN CVD CVDMBF CVI CVL CVS CVSMBF DATE$ ENVIRON$ EOF ERDEV ERDEV$
-ERL ERR EXP FILEATTR FIX FRE FREEFILE HEX$ INKEY$ INP INPUT$_ONE INPUT$ INSTR INSTR_FROM INT IOCTL$ LBOUND LBOUND_DIM
-LCASE$ LTRIM$ LEFT$ LEN LOC LOF LOG LPOS MID$_REST MID$ MKD$ MKDMBF$ MKI$ MKL$ MKS$ MKSMBF$ OCT$ PEEK PEN_FUNC PLAY_FUNC
-PMAP POINT_ONE POINT POS RIGHT$ RND RND_SEED RTRIM$ SADD SCREEN_FUNC SCREEN_FUNC3 SEEK SETMEM SGN SHELL_FUNC SIN SPACE$
-SQR STICK STR$ STRIG_FUNC STRING$ TAN TIME$ TIMER UBOUND UBOUND_DIM UCASE$ VAL VARPTR VARPTR$ VARSEG GE GT IDIVIDE IMP LE LT
-- - PUSH_LONG PUSH_HEX PUSH_HEX_LONG PUSH_OCT PUSH_OCT_LONG PUSH_SINGLE PUSH_DOUBLE PUSH_STR PAREN MOD MULTIPLY NE
-ARG_OMITTED ARG NOT OR POWER SUBTRACT NEGATE XOR UEVENT SLEEP FIXED_STRING DIM TO_RANGE
-""".split()
-
-
-def expression_opcodes() -> list[tuple[int, str]]:
-    """(word, mnemonic) of operators and functions."""
-    return [(FIRST_EXPRESSION + i, m) for i, m in enumerate(EXPRESSIONS) if m != "-"]
-
-
 def _pick(key: Column, values: dict, default=None) -> Column:
     out = F.lit(default)
     for k, v in reversed(values.items()):
@@ -86,6 +67,14 @@ def family_mnemonic(word: Column, suffixes: dict = SUFFIX) -> Column:
     return F.coalesce(variable_op(word, suffixes), constant_op(word), convert_op(word))
 
 
+def family_operands(word: Column) -> Column:
+    """Kinds of the operands of those words."""
+    kinds = lambda *k: F.array(*map(F.lit, k)) if k else F.array().cast("array<string>")
+    indexed = low_byte(word).isin(*(k for k, v in ACCESS.items() if v.startswith("ARR")))
+    by_family = F.when(variable_op(word).isNotNull() & indexed, kinds("u16", "ref")).when(variable_op(word).isNotNull(), kinds("ref")).when(constant_op(word) == "PUSH_INT", kinds("u16"))
+    return by_family.when(family_mnemonic(word).isNotNull(), kinds())
+
+
 def immediate_opcode(value: Column) -> Column:
     """The word that carries a small constant; none beyond 10."""
     return F.when(value.between(0, 10), F.shiftleft(value * 4 + 1, 8).bitwiseOR(F.lit(100)))

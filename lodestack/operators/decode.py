@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import ACCESS, CONVERT, SUFFIX, SUFFIX_LATER
+from ..sources.opcodes import DEFAULT, Table, table
 
 # Fixed values of the format: the end of a stream; what follows the header of an included line; words that an operand takes; the mark of a run.
 END = (9, 8)
@@ -22,8 +22,6 @@ INCLUDED = {2: ("file",), 3: ("file", "escape"), 52: ("label_offset", "label_ref
 ESCAPE_BIT, LABEL_BIT, FLAG_BITS = 1, 4, 1023
 OPERAND_WORDS = {"u16": 1, "ref": 1, "argc": 1, "u32": 2, "f32": 2, "f64": 4}
 RUN_MARK = 13
-#: Words have 16 bits, so an opcode table has no more rows than this.
-MOST_OPCODES = 1 << 16
 
 INSTR = "struct<instr_no:int,offset:int,code:int,mnemonic:string,operands:array<int>,payload:binary>"
 LINE = f"struct<line_no:int,offset:int,header:int,indent:int,label_offset:int,label_ref:int,included:boolean,include_ref:int,instrs:array<{INSTR}>>"
@@ -34,22 +32,6 @@ def is_header(word: int) -> bool:
     return word in INCLUDED or not word & FLAG_BITS & ~(ESCAPE_BIT | LABEL_BIT)
 
 
-def family(word: int, later: bool) -> tuple[str, tuple[str, ...]] | None:
-    """Mnemonic and operands of words that a rule makes."""
-    high, low = divmod(word, 256)
-    suffix = (SUFFIX_LATER if later else SUFFIX).get(high)
-    if low in ACCESS and suffix is not None:
-        return ACCESS[low] + suffix, ("ref",) if ACCESS[low] in ("LOAD", "STORE", "DECL") else ("u16", "ref")
-    step, typed = divmod(high - 1, 4)
-    if typed or step < 0:
-        return None
-    if low == 101:
-        return "PUSH_INT", ("u16",)
-    if low == 100 and step <= 10:
-        return f"PUSH_{step}", ()
-    return (CONVERT[step], ()) if low == 8 and step in CONVERT else None
-
-
 class Short(Exception):
     """The stream ends within a line."""
 
@@ -76,9 +58,10 @@ class Stream:
         if (escape := values.get("escape")) is not None:
             line["indent"] = escape if escape & FLAG_BITS else escape >> 10
 
-    def instr(self, instrs: list, opcodes: dict, later: bool) -> None:
+    def instr(self, instrs: list, opcodes: Table, later: bool) -> None:
         offset, (code,) = self.at * 2, self.take()
-        mnemonic, kinds = opcodes.get(code) or family(code, later) or (None, ())
+        op = opcodes.of(code, later)
+        mnemonic, kinds = (op.mnemonic, op.operands) if op else (None, ())
         found = {"instr_no": len(instrs), "offset": offset, "code": code, "mnemonic": mnemonic, "operands": [], "payload": None}
         instrs.append(found)
         for kind in kinds:
@@ -90,7 +73,7 @@ class Stream:
                 found["operands"] += self.take(OPERAND_WORDS[kind])
 
 
-def decode(body: bytes, opcodes: dict, later: bool = False) -> tuple[list[dict], bool]:
+def decode(body: bytes, opcodes: Table, later: bool = False) -> tuple[list[dict], bool]:
     """Lines of a stream, and whether it ends before its end mark within a line. Words without an opcode have no operands."""
     stream, lines = Stream(body), []
     try:
@@ -120,32 +103,29 @@ def expand_runs(payload: bytes | None) -> bytes | None:
     return bytes(made + payload[at:])
 
 
-def decode_sections(sections: DataFrame, opcodes: DataFrame) -> DataFrame:
-    """sections: as of parse_sections. opcodes: code, mnemonic, operands (array of kinds), optionally later (rows of the later product only).
+def decode_sections(sections: DataFrame, opcodes: str = DEFAULT) -> DataFrame:
+    """sections: as of parse_sections. opcodes: the file of the opcode table, which goes to every task with the function.
 
     Returns path, section, lines, truncated and in_sync (as many lines as the
-    trailer says). The opcode table goes to every task; it is bounded by the
-    width of a word, which is checked.
+    trailer says).
     """
-    rows = opcodes.limit(2 * MOST_OPCODES + 1).collect()
-    if len(rows) > 2 * MOST_OPCODES:
-        raise ValueError("more opcodes than words")
-    marked = "later" in opcodes.columns
-    plain = {r.code: (r.mnemonic, tuple(r.operands or ())) for r in rows if not (marked and r.later)}
-    late = plain | {r.code: (r.mnemonic, tuple(r.operands or ())) for r in rows if marked and r.later}
-    for _, kinds in [*plain.values(), *late.values()]:
-        if unknown := set(kinds) - {*OPERAND_WORDS, "str"}:
-            raise ValueError(f"unknown kind of operand: {sorted(unknown)}")
+    ops = table(opcodes)
 
     @F.pandas_udf(SCHEMA)
     def decoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for bodies, versions in batches:
-            yield pd.DataFrame([decode(b or b"", late if v == 2 else plain, v == 2) for b, v in zip(bodies, versions, strict=True)], columns=["lines", "truncated"])
+            yield pd.DataFrame([decode(b or b"", ops, v == 2) for b, v in zip(bodies, versions, strict=True)], columns=["lines", "truncated"])
 
     found = sections.where("body is not null").select("path", "section", "trailer", decoded("body", "version").alias("d"))
     return found.select("path", "section", "d.lines", "d.truncated", (~F.col("d.truncated") & (F.size("d.lines") == F.col("trailer.line_count"))).alias("in_sync"))
 
 
+def words(data: Column) -> Column:
+    """Bytes as unsigned little-endian words; a last odd byte is left out."""
+    at = F.when(F.octet_length(data) > 1, F.sequence(F.lit(1), F.octet_length(data) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda k: F.conv(F.concat(F.hex(F.substring(data, k + 1, F.lit(1))), F.hex(F.substring(data, k, F.lit(1)))), 16, 10).cast("int"))
+
+
 def line_rows(decoded: DataFrame) -> DataFrame:
     return decoded.select("path", "section", F.explode("lines").alias("l")).select("path", "section", "l.*")
 

@@ -3,140 +3,38 @@
 from __future__ import annotations
 
 import difflib
-import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_END, NAME, numtype
-from ..functions.words import EXPRESSIONS
-
-# Fixed values of the language: literals, operators, declarations, and how tightly the binary ones bind, loosest first.
-NUMBER = r"&[Hh][0-9A-Fa-f]+&?|&[Oo]?[0-7]+&?|(?:\d+\.?\d*|\.\d+)(?:[EeDd][-+]?\d+)?[!#&%]?"
-OPERATOR = r"<=|>=|<>|><|=<|=>|[-+*/\\^=<>(),;:#?]"
-TYPE = r"(?i)^\s*TYPE\s+([A-Za-z][\w.]*)"
-DECLARED = r"(?i)([A-Za-z][\w.]*)\s*(?:\([^)]*\))?\s+AS\s+([A-Za-z][\w.]*)"
-CURRENCY = {"default": r"(?i)(?<![\w.])DEFCUR(?![\w.])", "declared": r"(?i)(?<![\w.])AS\s+CURRENCY(?![\w.])", "own": r"(?i)(?<![\w.])TYPE\s+CURRENCY(?![\w.])"}
-BINDING = [{"IMP": "IMP"}, {"EQV": "EQV"}, {"XOR": "XOR"}, {"OR": "OR"}, {"AND": "AND"}, {"=": "EQ", "<>": "NE", "><": "NE", "<": "LT", ">": "GT", "<=": "LE", "=<": "LE", ">=": "GE", "=>": "GE"}, {"+": "ADD", "-": "SUBTRACT"}, {"MOD": "MOD"}, {"\\": "IDIVIDE"}, {"*": "MULTIPLY", "/": "DIVIDE"}]
-
-_POWER = {sign: (level, mnemonic) for level, row in enumerate(BINDING) for sign, mnemonic in row.items()}
-_WORDS = {"MOD", "AND", "OR", "XOR", "EQV", "IMP", "NOT"}
-_SUFFIXES = "%&!#$"
-_ALONE = r"(?![^\W_])"
-_ANYWHERE = rf"(?P<blank>[ \t]+)|'(?P<comment>.*)|\"(?P<string>[^\"]*)(?P<closed>\"?)|(?P<number>{NUMBER})|(?P<name>{NAME})|(?P<op>{OPERATOR})"
-#: At the start of a statement, after a name or a bracket, and elsewhere.
-_START = re.compile(rf"(?P<rem>(?i:REM)){_ALONE}(?P<remark>.*)|(?P<data>(?i:DATA)){_ALONE}(?P<items>(?:[^\":]|\"[^\"]*(?:\"|\Z))*)|{_ANYWHERE}", re.DOTALL)
-_AFTER = re.compile(rf"\.(?P<field>{NAME})|{_ANYWHERE}", re.DOTALL)
-_ELSE = re.compile(_ANYWHERE, re.DOTALL)
+from ..functions.text import LINE_END, numtype
+from ..sources.opcodes import DEFAULT, Table, table
+from .lexer import END, STRING, WORD, Token, lex
+from .statements import Item, Parser, Ref
 
 TOKEN = "kind string, text string, suffix string, at int"
 LEXED = f"tokens array<struct<{TOKEN.replace(' ', ':').replace(',:', ',')}>>, error string"
 RPN = "words array<string>, error string"
 
 
-def _named(kind: str, text: str, at: int) -> tuple:
-    body = text.rstrip(_SUFFIXES)
-    return kind, body, text[len(body) :], at
-
-
-def lex(line: str) -> list[tuple]:
-    """(kind, text, suffix, place) of a line's tokens; kinds are NAME, NUMBER, STRING, OP and END. ValueError where none fits."""
-    found, at = [], 0
-    while at < len(line):
-        last = found[-1][:2] if found else ("OP", ":")
-        pattern = _START if last == ("OP", ":") else _AFTER if last[0] == "NAME" or last == ("OP", ")") else _ELSE
-        m = pattern.match(line, at)
-        if m is None:
-            raise ValueError(f"unexpected character {line[at]!r} at column {at}")
-        got = {k: v for k, v in m.groupdict().items() if v is not None}
-        if "rem" in got or "data" in got:
-            rest = "remark" if "rem" in got else "items"
-            found += [("NAME", "REM" if "rem" in got else "DATA", "", at), ("STRING", got[rest], "", m.start(rest))]
-        elif "field" in got:
-            found += [("OP", ".", "", at), _named("NAME", got["field"], at + 1)]
-        elif "comment" in got:
-            found += [("OP", "'", "", at), ("STRING", got["comment"], "", at + 1)]
-        elif "string" in got:
-            found.append(("STRING", got["string"], "", at))
-        elif "number" in got:
-            found.append(("NUMBER", got["number"], "", at))
-        elif "name" in got:
-            found.append(_named("NAME", got["name"], at))
-        elif "op" in got:
-            found.append(("OP", got["op"], "", at))
-        at = m.end()
-    return [*found, ("END", "", "", len(line))]
-
-
-class _Climb:
-    """Operands and operators of one expression, by binding power."""
-
-    def __init__(self, tokens: list[tuple]):
-        self.tokens, self.at = tokens, 0
-
-    def sign(self) -> str | None:
-        kind, text, suffix, _ = self.tokens[self.at]
-        if kind == "OP" or kind == "NAME" and not suffix and text.upper() in _WORDS:
-            return text.upper()
-        return None
-
-    def need(self, sign: str) -> None:
-        if self.sign() != sign:
-            raise ValueError(f"expected {sign!r}, found {self.tokens[self.at][1]!r}")
-        self.at += 1
-
-    def binary(self, loosest: int = 0) -> list[str]:
-        made = self.unary()
-        while (bound := _POWER.get(self.sign())) and bound[0] >= loosest:
-            self.at += 1
-            made += [*self.binary(bound[0] + 1), bound[1]]
-        return made
-
-    def unary(self) -> list[str]:
-        pending = []
-        while (sign := self.sign()) in ("-", "+", "NOT"):
-            pending += {"-": ["NEGATE"], "NOT": ["NOT"], "+": []}[sign]
-            self.at += 1
-        made = self.operand()
-        if self.sign() == "^":  # tighter than the signs before it; its right side may have its own
-            self.at += 1
-            made += [*self.unary(), "POWER"]
-        return made + pending[::-1]
-
-    def operand(self) -> list[str]:
-        kind, text, suffix, _ = self.tokens[self.at]
-        if self.sign() == "(":
-            self.at += 1
-            made = self.binary()
-            self.need(")")
-            return [*made, "PAREN"]
-        if kind in ("OP", "END") or self.sign():
-            raise ValueError(f"expected an operand, found {text!r}")
-        self.at += 1
-        if kind != "NAME":
-            return [f"PUSH {text}" if kind == "NUMBER" else f'PUSH_STR "{text}"']
-        made, n = [], 0
-        if self.sign() == "(":
-            while n == 0 or self.sign() == ",":
-                self.at += 1
-                made, n = made + self.binary(), n + 1
-            self.need(")")
-        word = text.upper() + suffix
-        made.append(word if word in EXPRESSIONS else f"ARRAY{suffix} {n} {text}" if n else f"LOAD{suffix} {text}")
-        while self.sign() == ".":
-            made.append(f"FIELD {self.tokens[self.at + 1][1]}")
-            self.at += 2
-        return made
-
-
-def reverse_polish(expression: str) -> list[str]:
+def shown(item: Item) -> str:
+    """An instruction as a word or a few."""
+    if item.mnemonic == "PUSH":
+        return f"PUSH {item.operands[0]}"
+    if item.payload is not None:
+        return f'{item.mnemonic} "{item.payload.decode("latin-1")}"'
+    return " ".join([item.mnemonic, *(x.text if isinstance(x, Ref) else str(x) for x in item.operands)])
+
+
+def reverse_polish(expression: str, ops: Table | None = None) -> list[str]:
     """An expression's operands and operators in the order of evaluation. Brackets that were written stay, as PAREN."""
-    climb = _Climb(lex(expression))
-    made = climb.binary()
-    if climb.tokens[climb.at][0] != "END":
-        raise ValueError(f"unexpected {climb.tokens[climb.at][1]!r}")
-    return made
+    parser = Parser(lex(expression), ops or table())
+    made = parser.expression()
+    if parser.tokens[parser.at].kind != END:
+        raise ValueError(f"unexpected {parser.tokens[parser.at].text!r}")
+    return [shown(i) for i in made]
 
 
 def _each(read, schema: str, first: str, text: str):
@@ -155,7 +53,7 @@ def _each(read, schema: str, first: str, text: str):
 
 def lex_lines(lines: DataFrame, text: str = "line") -> DataFrame:
     """lines with tokens and error. A line that can't be split has no tokens; a null line has neither."""
-    return lines.withColumn("__l", _each(lambda s: [dict(zip(("kind", "text", "suffix", "at"), t, strict=True)) for t in lex(s)], LEXED, "tokens", text)).select(*lines.columns, "__l.tokens", "__l.error")
+    return lines.withColumn("__l", _each(lambda s: [t._asdict() for t in lex(s)], LEXED, "tokens", text)).select(*lines.columns, "__l.tokens", "__l.error")
 
 
 def token_rows(lexed: DataFrame, *keys: str) -> DataFrame:
@@ -164,28 +62,88 @@ def token_rows(lexed: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("numtype", F.when(F.col("kind") == "NUMBER", numtype(F.col("text"))))
 
 
-def parse_expressions(rows: DataFrame, text: str = "expression") -> DataFrame:
+def parse_expressions(rows: DataFrame, text: str = "expression", opcodes: str = DEFAULT) -> DataFrame:
     """rows with words (reverse Polish) and error."""
-    return rows.withColumn("__r", _each(reverse_polish, RPN, "words", text)).select(*rows.columns, "__r.words", "__r.error")
+    ops = table(opcodes)
+    return rows.withColumn("__r", _each(lambda s: reverse_polish(s, ops), RPN, "words", text)).select(*rows.columns, "__r.words", "__r.error")
+
+
+# declarations, seen in tokens: comments and strings are no names there
+
+
+def _code(line: str) -> list[Token]:
+    """Tokens of a line without strings and comments; none where it can't be split."""
+    try:
+        return [t for t in lex(line) if t.kind not in (STRING, END)]
+    except ValueError:
+        return []
+
+
+def defined_type(line: str) -> str | None:
+    """The type that a TYPE line begins to define."""
+    first = _code(line)[:2]
+    return first[1].text.lower() if len(first) == 2 and first[0].word == "TYPE" and first[1].kind == WORD else None
+
+
+def declared_types(line: str) -> Iterator[tuple[str, str]]:
+    """(name, type) wherever a name, with or without brackets after it, is declared AS a type."""
+    tokens = _code(line)
+    for k, t in enumerate(tokens):
+        if t.word != "AS" or not 0 < k < len(tokens) - 1 or tokens[k + 1].kind != WORD:
+            continue
+        at, depth = k - 1, 0
+        while at >= 0 and (depth or tokens[at].word == ")"):
+            depth += {")": 1, "(": -1}.get(tokens[at].word, 0)
+            at -= 1
+        if at >= 0 and tokens[at].kind == WORD:
+            yield tokens[at].text.lower(), tokens[k + 1].text.lower()
+
+
+def records_of(lines: Iterable[str]) -> frozenset[str]:
+    """Variables of the types that the lines define."""
+    lines = list(lines)
+    types = {x for line in lines if (x := defined_type(line))}
+    return frozenset(name for line in lines if types for name, kind in declared_types(line) if kind in types)
 
 
 def record_variables(lines: DataFrame) -> DataFrame:
     """lines: path, line. path, name (lower case) of variables declared as a type that the same file defines."""
-    types = lines.select("path", F.lower(F.regexp_extract("line", TYPE, 1)).alias("type")).where("type <> ''").distinct()
-    pair = F.arrays_zip(F.regexp_extract_all("line", F.lit(DECLARED), 1).alias("name"), F.regexp_extract_all("line", F.lit(DECLARED), 2).alias("type"))
-    declared = lines.select("path", F.explode(pair).alias("p")).select("path", F.lower("p.name").alias("name"), F.lower("p.type").alias("type"))
-    return declared.join(types, ["path", "type"], "left_semi").select("path", "name").distinct()
+
+    @F.pandas_udf("type string, declared array<struct<name:string,kind:string>>")
+    def found(batch: pd.Series) -> pd.DataFrame:
+        texts = ["" if x is None else x for x in batch]
+        return pd.DataFrame({"type": [defined_type(x) for x in texts], "declared": [list(declared_types(x)) for x in texts]})
+
+    # most lines say neither; the built-in filter keeps them from Python
+    rows = lines.where(F.upper("line").contains("TYPE") | F.upper("line").contains("AS")).select("path", found("line").alias("f"))
+    types = rows.where("f.type is not null").select("path", F.col("f.type").alias("kind")).distinct()
+    declared = rows.select("path", F.inline("f.declared"))
+    return declared.join(types, ["path", "kind"], "left_semi").select("path", "name").distinct()
+
+
+def currency_words(lines: Iterable[str]) -> set[str]:
+    """What in a program only the later product can hold; a program that defines a type of that name means its own type."""
+    words = [[t.word for t in _code(line)] for line in lines if "CUR" in line.upper()]
+    pairs = {p for line in words for p in zip(line, line[1:], strict=False)}
+    found = {"DEFCUR"} if any("DEFCUR" in line for line in words) else set()
+    return found | ({"AS CURRENCY"} if ("AS", "CURRENCY") in pairs and ("TYPE", "CURRENCY") not in pairs else set())
 
 
 def pds_words(lines: DataFrame) -> DataFrame:
-    """lines: path, line. path, word: what only the later product can hold, outside comments and strings, line by line.
-
-    A file that defines a type of that name means its own type.
-    """
-    code = lines.where(~F.coalesce(F.col("line").rlike(r"(?i)^\s*REM\b"), F.lit(True))).select("path", F.regexp_replace(F.split_part("line", F.lit("'"), F.lit(1)), '"[^"]*"', '""').alias("code"))
-    seen = code.groupBy("path").agg(*(F.max(F.col("code").rlike(pattern)).alias(k) for k, pattern in CURRENCY.items()))
-    words = F.array_compact(F.array(F.when(F.col("default"), "DEFCUR"), F.when(F.col("declared") & ~F.col("own"), "AS CURRENCY")))
-    return seen.select("path", F.explode(words).alias("word"))
+    """lines: path, line. path, word: what only the later product can hold, outside comments and strings, line by line."""
+
+    @F.pandas_udf("array<string>")
+    def seen(batch: pd.Series) -> pd.Series:
+        made = []
+        for line in batch:
+            words = [t.word for t in _code(line or "")]
+            pairs = set(zip(words, words[1:], strict=False))
+            made.append([*["DEFCUR"] * ("DEFCUR" in words), *["AS CURRENCY"] * (("AS", "CURRENCY") in pairs), *["OWN"] * (("TYPE", "CURRENCY") in pairs)])
+        return pd.Series(made, dtype=object)
+
+    rows = lines.where(F.upper("line").contains("CUR")).select("path", F.explode(seen("line")).alias("word")).groupBy("path").agg(F.collect_set("word").alias("all"))
+    kept = F.filter("all", lambda w: (w == "DEFCUR") | (w == "AS CURRENCY") & ~F.array_contains("all", "OWN"))
+    return rows.select("path", F.explode(kept).alias("word"))
 
 
 def would_change(before: Column, after: Column) -> Column:

@@ -40,18 +40,22 @@ def word_at(content: Column, at: Column | int) -> Column:
 
 
 def header(files: DataFrame, *keep: str) -> DataFrame:
-    """files: path, content. path, what is to be kept, version, shift, uses_tabs, code_at, names_end and error; all built-in functions."""
-    c = F.col("content")
-    version, size = byte_at(c, 1), F.length(c)
-    shift = F.when(version == 0, 0).when(version == 2, 1)
-    code, end = word_at(c, CODE_AT + shift), word_at(c, END_AT + shift)
+    """files: path, content (read, not computed: each column here looks at it). path, what is to be kept, version, shift, uses_tabs, code_at, names_end and error; all built-in functions."""
+    head = F.hex(F.substring("content", 1, NAMES_AT + 1))
+    byte = lambda at: F.conv(F.substring(F.col("__head"), 2 * at + 1, F.lit(2)), 16, 10).cast("int")
+    word = lambda at: byte(at) + 256 * byte(at + 1)
+    rows = files.select("path", *keep, F.length("content").alias("__size"), head.alias("__head"))
+    version, size = byte(F.lit(1)), F.col("__size")
+    rows = rows.withColumns({"version": version, "shift": F.when(version == 0, 0).when(version == 2, 1)})
+    shift = F.col("shift")
     base = BUCKETS_AT + shift
+    rows = rows.withColumns({"code_at": word(F.lit(CODE_AT) + shift) + base, "names_end": word(F.lit(END_AT) + shift) + base})
     error = (
-        F.when(c.isNull() | (size == 0), "empty file").when(byte_at(c, 0) != MAGIC, "wrong magic").when(shift.isNull(), "unknown version")
-        .when(size < NAMES_AT + shift, "truncated header").when(~(end + base).between(NAMES_AT + shift, size), "name table outside file")
-        .when(~((code + base >= NAMES_AT + shift) & (code + base < size)), "code outside file")
+        F.when(size.isNull() | (size == 0), "empty file").when(byte(F.lit(0)) != MAGIC, "wrong magic").when(shift.isNull(), "unknown version")
+        .when(size < NAMES_AT + shift, "truncated header").when(~F.col("names_end").between(NAMES_AT + shift, size), "name table outside file")
+        .when(~((F.col("code_at") >= NAMES_AT + shift) & (F.col("code_at") < size)), "code outside file")
     )
-    return files.select("path", *keep, version.alias("version"), shift.alias("shift"), (byte_at(c, FLAGS_AT).bitwiseAND(F.lit(TABS)) != 0).alias("uses_tabs"), (code + base).alias("code_at"), (end + base).alias("names_end"), error.alias("error"))
+    return rows.select("path", *keep, "version", "shift", (byte(F.lit(FLAGS_AT)).bitwiseAND(F.lit(TABS)) != 0).alias("uses_tabs"), "code_at", "names_end", error.alias("error"))
 
 
 def buckets(files: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def buckets(files: DataFrame) -> DataFrame:
     return rows.select("path", "bucket", word_at(c, BUCKETS_AT + F.col("shift") + 2 * F.col("bucket")).alias("head"))
 
 
-def _shift(data: bytes) -> int:
+def layout_shift(data: bytes) -> int:
     """The layout's shift, or ValueError."""
     if not data:
         raise ValueError("empty file")
@@ -82,7 +86,7 @@ def _base_word(data: bytes, at: int, shift: int) -> int:
 
 def read_names(data: bytes) -> list[dict]:
     """Entries of the name table, in its order."""
-    shift = _shift(data)
+    shift = layout_shift(data)
     end, found = _base_word(data, END_AT, shift), []
     if not NAMES_AT + shift <= end <= len(data):
         raise ValueError("name table outside file")
@@ -101,7 +105,7 @@ def read_names(data: bytes) -> list[dict]:
 
 def read_sections(data: bytes) -> tuple[list[dict], bytes]:
     """The module's section, then the procedures', and what is left after the last trailer."""
-    shift = _shift(data)
+    shift = layout_shift(data)
     at, found = _base_word(data, CODE_AT, shift), []
     if not NAMES_AT + shift <= at < len(data):
         raise ValueError("code outside file")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +36,43 @@ def label_chain(lines: DataFrame) -> DataFrame:
     return lines.withColumn("link", F.coalesce(F.lead("off").over(w) + 2, F.lit(END_OF_CHAIN)))
 
 
-def walk_chains(heads: DataFrame, entries: DataFrame, most: int = 1 << 14) -> DataFrame:
-    """Follow the links from heads (file_id, bucket, head) through entries (file_id, ref, link), by rounds of doubling.
+WALKED = "array<struct<bucket:int,ref:bigint,step:bigint,error:string>>"
+
+
+def walk_chains(heads: DataFrame, entries: DataFrame) -> DataFrame:
+    """Follow the links from heads (file_id, bucket, head) through entries (file_id, ref, link).
 
-    Returns file_id, bucket, ref and step. A link to nothing, or a chain that
-    comes back to itself, has error set on the chain's first entry.
+    Returns file_id, bucket, ref, step and error. A link to nothing is a row with
+    an error, and so is the entry that a chain comes back to; the chain ends there.
+    References have 16 bits, so a file's entries are a bounded array.
     """
-    from ..sources.binary import spill
-
-    # reach: from ref, after `hops` steps, is `far` (null past the end)
-    reach = entries.select("file_id", "ref", F.when(F.col("link") != 0, F.col("link")).alias("far"))
-    known = entries.select("file_id", F.col("ref").alias("far"), F.lit(True).alias("there"))
-    found = heads.select("file_id", "bucket", F.col("head").alias("ref"), F.lit(0).cast("bigint").alias("step"))
-    hops = 1
-    while hops < most:
-        ahead = found.join(reach, ["file_id", "ref"]).where("far is not null").select("file_id", "bucket", F.col("far").alias("ref"), (F.col("step") + hops).alias("step"))
-        grown = spill(found.unionByName(ahead), "chain")
-        if not grown.where(F.col("step") >= hops).limit(1).count():
-            found = grown
-            break
-        found, hops = grown, hops * 2
-        reach = spill(reach.alias("a").join(reach.alias("b"), (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.far") == F.col("b.ref")), "left").select("a.file_id", "a.ref", "b.far"), "reach")
-    counts = found.groupBy("file_id", "bucket", "ref").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("visits"))
-    checked = counts.join(known.withColumnRenamed("far", "ref"), ["file_id", "ref"], "left")
-    error = F.when(F.col("there").isNull(), "unknown reference").when(F.col("visits") > 1, "cycle")
-    return checked.select("file_id", "bucket", "ref", "step", error.alias("error"))
+
+    @F.pandas_udf(WALKED)
+    def walk(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for starts, tables in batches:
+            yield pd.Series([list(_chains(h, {e["ref"]: e["link"] for e in t})) for h, t in zip(starts, tables, strict=True)], dtype=object)
+
+    tables = entries.groupBy("file_id").agg(F.collect_list(F.struct(F.col("ref").cast("bigint").alias("ref"), F.col("link").cast("bigint").alias("link"))).alias("entries"))
+    starts = heads.groupBy("file_id").agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), F.col("head").cast("bigint").alias("head"))).alias("heads"))
+    found = starts.join(tables, "file_id", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<ref:bigint,link:bigint>>")))
+    return found.select("file_id", F.inline(walk("heads", "entries")))
+
+
+def _chains(heads, links: dict[int, int]) -> Iterator[tuple]:
+    for h in heads:
+        ref, seen, step = h["head"], set(), 0
+        while ref:
+            if ref in seen or ref not in links:
+                yield h["bucket"], ref, step, "cycle" if ref in seen else "unknown reference"
+                break
+            yield h["bucket"], ref, step, None
+            seen.add(ref)
+            ref, step = links[ref], step + 1
+
+
+def subs(names: DataFrame) -> DataFrame:
+    """Entries that name procedures."""
+    return names.where(F.col("flags").bitwiseAND(F.lit(64)) != 0)
 
 
 def name_properties(flags: Column, name: Column) -> dict[str, Column]:
@@ -65,7 +80,7 @@ def name_properties(flags: Column, name: Column) -> dict[str, Column]:
     is_sub = flags.bitwiseAND(F.lit(64)) != 0
     is_label = flags.bitwiseAND(F.lit(4)) != 0
     numeric = flags.isin(2, 6)
-    return {"is_sub": is_sub, "is_label": is_label & ~numeric, "kind": F.when(is_sub, "sub").when(numeric, "line").when(is_label, "label").otherwise("name")}
+    return {"is_sub": is_sub, "is_label": is_label & ~numeric, "kind": F.when(is_sub, "sub").when(numeric, "line").when(flags == 4, "label").otherwise("name")}
 
 
 def resolve(instrs: DataFrame, names: DataFrame) -> DataFrame:
@@ -78,4 +93,4 @@ def unknown_codes(instrs: DataFrame, opcodes: DataFrame) -> DataFrame:
     """Codes that neither the table nor a family names: a left anti join."""
     from ..functions.words import family_mnemonic
 
-    return instrs.join(F.broadcast(opcodes.select("code")), "code", "left_anti").where(family_mnemonic(F.col("code")).isNull())
+    return instrs.join(F.broadcast(opcodes.where("not later").select("code")), "code", "left_anti").where(family_mnemonic(F.col("code")).isNull())

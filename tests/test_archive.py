@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import mbf, text, words
 from lodestack.operators import report, symbols, triage
 from lodestack.queries import ORACLE_SQL, QUERIES
-from lodestack.sources import binary
+from lodestack.sources import binary, opcodes
 from lodestack.streaming import files as stream
 
 SF = "/root/testdata/sf0.001"
@@ -64,14 +64,14 @@ def test_word_families(spark):
 
 
 def test_expression_words():
-    known = dict(words.expression_opcodes())
+    known = {code: op.mnemonic for code, op in opcodes.table().plain.items()}
     assert (known[0x0100], known[0x0109], known[0x015A], known[0x0166], known[0x016E], known[0x017D]) == ("ADD", "CHR$", "VAL", "PUSH_LONG", "PAREN", "DIM")
 
 
 def test_chain_walk_reports_cycles_and_unknown_references(spark):
     heads = spark.createDataFrame([(1, 0, 10), (2, 0, 10), (3, 0, 10)], "file_id int, bucket int, head long")
     entries = spark.createDataFrame([(1, 10, 20), (1, 20, 0), (2, 10, 20), (2, 20, 10), (3, 10, 99)], "file_id int, ref long, link long")
-    found = {(r.file_id, r.ref): r.error for r in symbols.walk_chains(heads, entries, 16).collect()}
+    found = {(r.file_id, r.ref): r.error for r in symbols.walk_chains(heads, entries).collect()}
     assert found[1, 10] is None and found[1, 20] is None
     assert found[2, 10] == "cycle" and found[3, 99] == "unknown reference"
 
@@ -84,6 +84,10 @@ def test_triage_and_sources(spark, tmp_path):
     (tmp_path / "e.txt").write_bytes(b"no")
     found = {r.path.rsplit("/", 1)[1]: (r.kind, r.convertible) for r in triage.triage(binary.scan_binary(spark, str(tmp_path))).collect()}
     assert found == {"a.BAS": ("QuickBASIC 4.5", True), "b.Bas": ("plain text", False), "c.bas": ("QuickBASIC 3 or earlier", False)}
+    scanned = {r.path.rsplit("/", 1)[1]: (r.kind, r.tool, r.detail) for r in triage.triage_scan(spark, str(tmp_path)).collect()}
+    assert scanned == {"a.BAS": ("QuickBASIC 4.5", "this engine", ""), "b.Bas": ("plain text", "nothing to do", "already source"), "c.bas": ("QuickBASIC 3 or earlier", "untested here", "may be a protected save")}
+    lost = spark.createDataFrame([("x", None, "gone")], "path string, content binary, error string")
+    assert [(r.kind, r.detail) for r in triage.triage(lost).collect()] == [("unreadable", "gone")]
     empty = spark.createDataFrame([("d", bytearray())], "path string, content binary")
     assert [(r.kind, r.first_byte) for r in triage.triage(empty).collect()] == [("empty", None)]
     lines = binary.scan_text(spark, str(tmp_path / "sub")).orderBy("line_no").collect()
@@ -104,4 +108,5 @@ def test_lint_rules_of_the_survey(spark):
     found = spark.createDataFrame([("f", 1, i, m) for i, m in enumerate(names)], "file string, line int, pos int, mnemonic string")
     got = {r.mnemonic: r.severity for r in report.lint(found, report.rule_table(spark)).collect()}
     assert got == {"PEN_FUNC": "ignored", "UEVENT": "ignored", "DEF_FN": "rework", "CHAIN": "platform", "TRON": "ignored"}
-    assert len(report.RULES) == 25
+    rules = report.rule_table(spark)
+    assert (rules.where("not later").count(), rules.where("later").count()) == (25, 28)

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import decode, structure
-from lodestack.sources import helpfile
+from lodestack.sources import helpfile, opcodes
 
-OPCODES = [(0x0006, "COLON", [], False), (0x000A, "TEXT_LINE", ["str"], False), (0x0200, "WIDE", ["u32", "ref"], False), (0x0202, "FAR", ["f64"], True)]
+OPS = opcodes.Table([opcodes.Op(10, "TEXT_LINE", ("str",), 0, "", "stmt"), opcodes.Op(0x0200, "WIDE", ("u32", "ref"), None, "", "stmt"), opcodes.Op(0x0202, "FAR", ("f64",), None, "", "stmt", True)])
 TRAILER = struct.pack("<8H", 65535, 65535, 65535, 65535, 2, 0, 0, 0x0102)
 
 
@@ -71,8 +71,7 @@ def test_sections(files):
 
 
 def test_lines(spark, files):
-    opcodes = spark.createDataFrame(OPCODES, "code int, mnemonic string, operands array<string>, later boolean")
-    found = decode.decode_sections(structure.parse_sections(files.where("path = 'good'")), opcodes)
+    found = decode.decode_sections(structure.parse_sections(files.where("path = 'good'")))
     state = {r.section: (r.truncated, r.in_sync) for r in found.select("section", "truncated", "in_sync").collect()}
     assert state[0] == (False, True)
     lines = decode.line_rows(found.where("section = 0")).orderBy("line_no").collect()
@@ -82,7 +81,7 @@ def test_lines(spark, files):
 
 
 def test_streams_that_stop_short():
-    ops = {0x0200: ("WIDE", ("u32", "ref")), 10: ("TEXT_LINE", ("str",))}
+    ops = OPS
     lines, short = decode.decode(words(0, 0x0200, 1), ops)
     assert short and lines[0]["instrs"][0]["operands"] == []
     lines, short = decode.decode(words(4, 1), ops)
@@ -94,13 +93,14 @@ def test_streams_that_stop_short():
 
 
 def test_included_lines():
-    lines, short = decode.decode(words(2, 1, 0x34, 5, 86, 0x0164, 2, 1, 0x0164, 3, 1, 40, 0x0164, 9, 8), {})
+    lines, short = decode.decode(words(2, 1, 0x34, 5, 86, 0x0164, 2, 1, 0x0164, 3, 1, 40, 0x0164, 9, 8), OPS)
     assert not short and [(x["header"], x["included"], x["include_ref"], x["label_ref"], x["indent"]) for x in lines] == [(0x34, True, None, 86, 0), (2, True, 1, None, 0), (3, True, 1, None, 40)]
 
 
 def test_later_product_differs():
-    assert decode.family(0x140B, False) == ("LOAD$", ("ref",)) and decode.family(0x140B, True) == ("LOAD@", ("ref",))
-    assert decode.family(0x0065, False) is None and decode.family(0x0165, False) == ("PUSH_INT", ("u16",))
+    shown = lambda op: op and (op.mnemonic, op.operands)
+    assert shown(OPS.of(0x140B)) == ("LOAD$", ("ref",)) and shown(OPS.of(0x140B, True)) == ("LOAD@", ("ref",))
+    assert OPS.of(0x0065) is None and shown(OPS.of(0x0165)) == ("PUSH_INT", ("u16",)) and OPS.of(0x0202) is None and shown(OPS.of(0x0202, True)) == ("FAR", ("f64",))
 
 
 def test_runs():
