@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.binary import shared_dir
+
 #: White space of the word operators: space, and tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = r"[\x20\x09-\x0D]+"
@@ -21,21 +22,9 @@ CHUNK_CHARS = 2_000_000
 #: Rows of a slice; their numbers fit 16 bits.
 MAX_ROWS = 50_000
 
-_own_dir: str | None = None
 _held: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. A folder of our own only where the cluster names none."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="lodestack-")
-    return _own_dir
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/lodestack/{tag}-{uuid.uuid4().hex}"

@@ -53,6 +53,41 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this source code form is subject to the terms of the mozilla public license v": "mpl2-terms",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "licensed under the mit license": "mit-name",
+    "this project is licensed under the mit license": "mit-name",
+    "this software is released under the mit license": "mit-name",
+    "distributed under the mit license": "mit-name",
+    "spdx license identifier mit": "mit-name",
+    "licensed under the bsd 2 clause license": "bsd2-name",
+    "spdx license identifier bsd 2 clause": "bsd2-name",
+    "licensed under the bsd 3 clause license": "bsd3-name",
+    "spdx license identifier bsd 3 clause": "bsd3-name",
+    "spdx license identifier apache 2.0": "apache2-name",
+    "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache2-header",
+    "licensed under the mozilla public license 2.0": "mpl2-name",
+    "licensed under the mozilla public license version 2.0": "mpl2-name",
+    "spdx license identifier mpl 2.0": "mpl2-name",
+    "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl2-terms",
+    "licensed under the gnu general public license version 2": "gpl2-name",
+    "spdx license identifier gpl 2.0 only": "gpl2-name",
+    "spdx license identifier gpl 2.0 or later": "gpl2-later",
+    "licensed under the gnu general public license version 3": "gpl3-work",
+    "spdx license identifier gpl 3.0 only": "gpl3-work",
+    "spdx license identifier gpl 3.0 or later": "gpl3-terms",
+    "licensed under the gnu lesser general public license version 2.1": "lgpl21-name",
+    "spdx license identifier lgpl 2.1 only": "lgpl21-name",
+    "spdx license identifier lgpl 2.1 or later": "lgpl21-terms",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-name",
+    "spdx license identifier lgpl 3.0 only": "lgpl3-name",
+    "spdx license identifier agpl 3.0 or later": "agpl3-terms",
+    "licensed under the isc license": "isc-name",
+    "spdx license identifier isc": "isc-name",
+    "spdx license identifier unlicense": "unlicense",
+    "spdx license identifier cc0 1.0": "cc0-name",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-name",
+    "this work is licensed under a creative commons attribution 4.0 international license": "ccby4-name",
+    "this work is licensed under a creative commons attribution sharealike 4.0 international license": "ccbysa4-name",
+    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "ccbync4-name",
 }
 # Ordered rules, sequences of sentence identifiers and the licence each means.
 RULES = (
@@ -85,6 +120,15 @@ RULES = (
     (("isc-grant",), "ISC"),
     (("mpl2-terms",), "MPL-2.0"),
     (("unlicense",), "Unlicense"),
+    (("bsd2-name",), "BSD-2-Clause"),
+    (("bsd3-name",), "BSD-3-Clause"),
+    (("mpl2-name",), "MPL-2.0"),
+    (("gpl2-name",), "GPL-2.0-only"),
+    (("gpl2-later",), "GPL-2.0-or-later"),
+    (("lgpl21-name",), "LGPL-2.1-only"),
+    (("lgpl3-name",), "LGPL-3.0-only"),
+    (("isc-name",), "ISC"),
+    (("cc0-name",), "CC0-1.0"),
 )
 
 

@@ -1,9 +1,11 @@
 """Operator 10, quality by nearest-neighbour voting.
 
-A text becomes a sequence of runs (letters by case and length, digits, blanks,
-line ends, each other ASCII character), its run trigrams are counted in hashed
-buckets, weighted by rarity, and projected to the latent semantic space of a
-bounded sample of labelled documents (``FIT_ROWS``, by a hash of the id). The
+A text's terms are its words (lower case) and its run trigrams: runs are letters
+by case and length, digits, blanks, line ends and each other ASCII character. Both
+are counted in hashed buckets, weighted by rarity, each half brought to a length of
+its own, and projected to the latent semantic space of a bounded sample of labelled
+documents (``FIT_ROWS``, by a hash of the id), so that what a text says and what it
+looks like both count. The
 sample's vectors are broadcast; every document's cosine with each of them is
 taken in blocks, exactly, and the nearest vote with their similarity as weight.
 
@@ -22,20 +24,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, releasing, text_slices
+from .common import chunks, held, releasing, text_slices
 
 #: About so many labelled rows are learned from and broadcast.
 FIT_ROWS = 4_000
+#: Buckets of run trigrams, and of words.
 BUCKETS = 2_048
-RANK = 48
+WORD_BUCKETS = 2_048
+#: Length of the half of the words; that of the runs is 1.
+WORD_LENGTH = 0.5
+RANK = 64
 NEIGHBOURS = 25
 #: Weight of a neighbour: its cosine to this power.
 SHARPNESS = 4
 GOOD = 0.7
-BLOCK = 512
+BLOCK = 256
 #: Characters in work at a time.
 SLICE_CHARS = 1_000_000
 
@@ -54,8 +61,31 @@ _CLASSES = _classes()
 _LAST = len(_CLASSES)
 
 
-def counts_of(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
-    """Run trigrams of each text in hashed buckets, as log(1 + count)."""
+class _WordBucket(dict):
+    """Buckets of words, bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 60_000:
+            self.clear()
+        self[word] = b = xxhash.xxh3_64_intdigest(word) % WORD_BUCKETS
+        return b
+
+
+def counts_of(texts: list[str]) -> np.ndarray:
+    """Run trigrams and words of each text in hashed buckets, as log(1 + count)."""
+    return np.hstack((_runs(texts, BUCKETS), _words(texts)))
+
+
+def _words(texts: list[str]) -> np.ndarray:
+    bucket = held("word buckets", _WordBucket).__getitem__
+    out = np.zeros((len(texts), WORD_BUCKETS), np.float32)
+    for row, t in zip(out, texts, strict=True):
+        words = t.encode("utf-8", "surrogatepass").lower().split()
+        row += np.bincount(np.fromiter(map(bucket, words), np.int64, len(words)), minlength=WORD_BUCKETS)
+    return np.log1p(out)
+
+
+def _runs(texts: list[str], buckets: int) -> np.ndarray:
     framed = [f"\n\n{t}\n\n" for t in texts]
     codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), list(map(len, framed)))
@@ -79,10 +109,26 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)
 
 
+def _halves(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Weighted counts, runs and words each brought to a length of their own."""
+    weighted = counts * rarity
+    return np.hstack((_unit(weighted[:, :BUCKETS]), WORD_LENGTH * _unit(weighted[:, BUCKETS:])))
+
+
+def _leading(rows: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration."""
+    q = np.random.default_rng(11).standard_normal((rows.shape[1], min(rank + 16, *rows.shape))).astype(np.float32)
+    for _ in range(6):
+        q, _ = np.linalg.qr(rows.T @ (rows @ q))
+    _, _, turned = np.linalg.svd(rows @ q, full_matrices=False)
+    return (q @ turned.T)[:, :rank]
+
+
 @dataclass
 class Model:
-    """projection (weights included), the sample's vectors and labels, and the share of good labels."""
+    """Rarity of terms, projection, the sample's vectors and labels, and the share of good labels."""
 
+    rarity: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -94,7 +140,7 @@ class Model:
         if not k:
             return out
         for at in range(0, len(texts), BLOCK):
-            v = _unit(_unit(counts_of(texts[at : at + BLOCK])) @ self.projection)
+            v = _unit(_halves(counts_of(texts[at : at + BLOCK]), self.rarity) @ self.projection)
             cosines = v @ self.vectors.T
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(float) ** SHARPNESS
@@ -119,13 +165,12 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     pdf = labelled.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text").mapInArrow(vectors, "doc_id bigint, label int, v binary").toPandas().sort_values("doc_id", kind="stable")
     labels = pdf["label"].to_numpy(float)
     if not len(pdf):
-        return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
+        return Model(np.zeros(BUCKETS + WORD_BUCKETS, np.float32), np.zeros((BUCKETS + WORD_BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
     counts = np.stack([np.frombuffer(v, np.float16) for v in pdf["v"]]).astype(np.float32)
-    rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
-    weighted = _unit(counts) * rarity
-    _, vectors_ = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    projection = (rarity[:, None] * vectors_[:, ::-1][:, :RANK]).astype(np.float32)
-    return Model(projection, _unit(_unit(counts) @ projection).astype(np.float32), labels, float(labels.mean()))
+    rarity = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
+    weighted = _halves(counts, rarity)
+    projection = _leading(weighted, RANK)
+    return Model(rarity, projection, _unit(weighted @ projection), labels, float(labels.mean()))
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

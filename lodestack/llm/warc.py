@@ -7,9 +7,12 @@ central directory, finds where a stored member's bytes begin, reads the index,
 and then reads each record by its range. Nothing is extracted: it needs only a
 function that returns the bytes of a range.
 
-Archives are rows of a table in the shared folder, bounded in size, so that they
-are written and read by Spark wherever the cluster keeps its files, and a task
-that is lost is repeated. ``range_reader`` reads archives that are files.
+Archives are files of the shared folder, bounded in size, each under a name of
+its own: a task that is lost or runs twice writes others, and only those that the
+written table of archives names are read. Reading takes two steps: a task per
+archive reads its directories and index, and gives ranges of neighbouring records
+of about ``RANGE_BYTES``; these are dealt over all tasks, which read each range
+and nothing else.
 
 Records with equal payloads of at least ``REVISIT_BYTES`` are written once: the
 largest page_id is the response, the others are revisits that carry the HTTP
@@ -29,23 +32,26 @@ import binascii
 import hashlib
 import io
 import json
+import re
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import chunks, materialise, releasing, shared_dir
 from .exact_dedup import find_repeats
 
 REVISIT_BYTES = 1000
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 4_000_000
+#: Bytes of neighbouring records that are read at a time.
+RANGE_BYTES = 1_000_000
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ID = "urn:page:"
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -116,11 +122,19 @@ class ZipDirectory:
         return local + 30 + n_name + n_extra, length
 
 
-def range_reader(path: str) -> tuple[Callable[[int, int], bytes], int]:
-    """Ranges of a file by any file system that pyarrow knows, and its size."""
+def file_store(path: str):
+    """The file system of a path, by pyarrow, and the path there."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    local = re.match("file:/+", path)
+    return (fs.LocalFileSystem(), "/" + path[local.end() :]) if local else fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def range_reader(path: str) -> tuple[Callable[[int, int], bytes], int]:
+    """Ranges of a file by any file system that pyarrow knows, and its size."""
+    store, inner = file_store(path)
     source = store.open_input_file(inner)
     return (lambda start, length: source.read_at(length, start)), source.size()
 
@@ -174,8 +188,8 @@ class ArchiveWriter:
         return out.getvalue()
 
 
-def archive_records(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Every record that the archive's indexes list, each read by its range."""
+def record_places(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Where each record that the archive's indexes list begins, and its length."""
     zip_ = ZipDirectory(read, size)
     start, length = zip_.place(RECORDS)
     for name in (n for n in zip_.members if n.startswith("indexes/")):
@@ -184,7 +198,25 @@ def archive_records(read: Callable[[int, int], bytes], size: int) -> Iterator[tu
             entry = json.loads(line)
             if entry["offset"] + entry["length"] > length:
                 raise ValueError("the index points past the records")
-            yield parse_record(zlib.decompress(zip_.read(start + entry["offset"], entry["length"]), 31))
+            yield start + entry["offset"], entry["length"]
+
+
+def archive_records(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Every record that the archive's indexes list, each read by its range."""
+    for at, n in record_places(read, size):
+        yield parse_record(zlib.decompress(read(at, n), 31))
+
+
+def neighbouring(places: Iterator[tuple[int, int]], limit: int) -> Iterator[list[tuple[int, int]]]:
+    """Places that follow each other, up to about ``limit`` bytes together; a longer record is alone."""
+    held: list[tuple[int, int]] = []
+    for at, n in places:
+        if held and (at != sum(held[-1]) or at + n - held[0][0] > limit):
+            yield held
+            held = []
+        held.append((at, n))
+    if held:
+        yield held
 
 
 def plan_records(pages: DataFrame, n_rows: int | None = None) -> DataFrame:
@@ -206,53 +238,84 @@ def plan_records(pages: DataFrame, n_rows: int | None = None) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, n_rows: int | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """archive_id, n_records and content of bounded archives."""
+    """path, n_records and size of bounded archives, written when the result is (which has to be kept: it alone says which count)."""
+    folder = f"{shared_dir(pages.sparkSession)}/lodestack/archives-{uuid.uuid4().hex}"
 
+    @releasing
     def run(batches):
-        task, made, writer = TaskContext.get().partitionId(), 0, ArchiveWriter()
+        store, inner = file_store(folder)
+        store.create_dir(inner, recursive=True)
 
-        def closed():
-            return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{made:06d}"]), pa.array([writer.n], pa.int64()), pa.array([writer.close()], pa.binary())], names=["archive_id", "n_records", "content"])
+        def closed(writer: ArchiveWriter) -> pa.RecordBatch:
+            name, body = f"{uuid.uuid4().hex}.zip", writer.close()
+            with store.open_output_stream(f"{inner}/{name}") as out:
+                out.write(body)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([writer.n], pa.int64()), pa.array([len(body)], pa.int64())], names=["path", "n_records", "size"])
 
+        writer = ArchiveWriter()
         names = ("page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "sha1")
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        for part in chunks(batches, "payload"):
+            for row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
                 writer.add(row[0], warc_record(*row))
                 if writer.at >= archive_bytes:
-                    yield closed()
-                    made, writer = made + 1, ArchiveWriter()
+                    yield closed(writer)
+                    writer = ArchiveWriter()
         if writer.n:
-            yield closed()
+            yield closed(writer)
+
+    return plan_records(pages, n_rows).mapInArrow(run, "path string, n_records bigint, size bigint")
+
+
+RANGES = "path string, places array<struct<at:bigint,n:bigint>>"
+
+
+def record_ranges(archives: DataFrame, limit: int = RANGE_BYTES) -> DataFrame:
+    """path and places: the neighbouring records of each range."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                read, size = range_reader(path)
+                found = [{"path": path, "places": [{"at": at, "n": n} for at, n in part]} for part in neighbouring(record_places(read, size), limit)]
+                yield pa.RecordBatch.from_pylist(found, pa.schema([("path", pa.string()), ("places", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])))]))
 
-    return plan_records(pages, n_rows).mapInArrow(run, "archive_id string, n_records bigint, content binary")
+    return archives.select("path").mapInArrow(run, RANGES)
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records of archives: content is read by ranges, digests are taken anew from payloads."""
+    """The records of archives (path), read by ranges; digests are taken anew from payloads."""
     of_id = lambda s: int(x) if (x := s.strip("<>").removeprefix(ID)) else None
 
-    def rows_of(content: bytes) -> Iterator[tuple]:
-        for head, block in archive_records(*bytes_reader(content)):
-            http, _, payload = block.partition(b"\r\n\r\n")
-            kind = head["warc-type"]
-            stated = binascii.hexlify(base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:"))).decode()
-            if kind == "revisit":
-                n = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                digest = stated
-            else:
-                n, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                if digest != stated:
-                    raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
-            refers = of_id(head["warc-refers-to"]) if "warc-refers-to" in head else None
-            yield (of_id(head["warc-record-id"]), head.get("warc-target-uri"), n, digest, kind, refers, *([payload] if with_payload else []))
+    def row_of(raw: bytes) -> tuple:
+        head, block = parse_record(zlib.decompress(raw, 31))
+        http, _, payload = block.partition(b"\r\n\r\n")
+        kind = head["warc-type"]
+        stated = binascii.hexlify(base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:"))).decode()
+        if kind == "revisit":
+            n = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            digest = stated
+        else:
+            n, digest = len(payload), hashlib.sha1(payload).hexdigest()
+            if digest != stated:
+                raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
+        refers = of_id(head["warc-refers-to"]) if "warc-refers-to" in head else None
+        return (of_id(head["warc-record-id"]), head.get("warc-target-uri"), n, digest, kind, refers, *([payload] if with_payload else []))
 
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.binary()] if with_payload else [])]
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
 
+    @releasing
     def run(batches):
+        opened: tuple = (None, None)
         for batch in batches:
-            for content in batch.column("content"):
-                rows = list(rows_of(content.as_py()))
+            for path, places in zip(batch.column("path").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                if opened[0] != path:
+                    opened = path, range_reader(path)[0]
+                begin = places[0]["at"]
+                raw = opened[1](begin, places[-1]["at"] + places[-1]["n"] - begin)
+                rows = [row_of(raw[x["at"] - begin :][: x["n"]]) for x in places]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return archives.select("content").mapInArrow(run, READ + (", payload binary" if with_payload else ""))
+    # a row for a range: what is dealt out is small
+    ranges = record_ranges(archives)
+    return ranges.repartition("path", "places").mapInArrow(run, READ + (", payload binary" if with_payload else ""))

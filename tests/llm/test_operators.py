@@ -18,7 +18,7 @@ tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("lodestack.llm")
 
 import corpus_pipeline  # noqa: E402
-from lodestack.llm import ann, bpe, exact_dedup, langid, license_scan, lm, ngram_join, packing, quality, queries, warc  # noqa: E402
+from lodestack.llm import ann, bpe, common, exact_dedup, langid, license_scan, lm, ngram_join, packing, quality, queries, warc  # noqa: E402
 from lodestack.llm.components import components  # noqa: E402
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -160,6 +160,15 @@ def test_warc_round_trip(spark):
         want.append((i, raw if i == last else b"", len(raw), hashlib.sha1(raw).hexdigest(), "response" if i == last else "revisit", None if i == last else last))
     assert got == sorted(want, key=repr)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    archives = common.materialise(warc.write_archives(pages, archive_bytes=1 << 20), "archives")
+    ranges = warc.record_ranges(archives, 600).collect()
+    assert sum(len(r.places) for r in ranges) == len(rows) and len(ranges) > archives.count()
+    assert warc.read_archives(archives).count() == len(rows)
+
+
+def test_neighbouring_ranges():
+    places = [(0, 5), (5, 5), (10, 20), (30, 1), (40, 2)]
+    assert list(warc.neighbouring(iter(places), 12)) == [[(0, 5), (5, 5)], [(10, 20)], [(30, 1)], [(40, 2)]]
 
 
 def test_zip64_directories(monkeypatch, tmp_path):
@@ -260,11 +269,53 @@ def test_neighbours_recall_ties_and_defined_cases(spark):
         s[q] = -np.inf
         hit += len(set(np.lexsort((np.arange(700), -s))[:20]) & {x[1] for x in found})
     assert hit / (20 * len(got)) >= 0.9
+    again = ann.search(df.unionByName(df).withColumn("score", F.lit("clash")), F.col("vec_id") % 20 == 0)
+    assert {(r.query_id, r.rank, r.vec_id) for r in again.collect()} == {(q, x[0], x[1]) for q, found in got.items() for x in found}
     few = ann.search(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def _recall(got, e, queries, k=20):
+    hit = 0
+    for q in queries:
+        s = e @ e[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:k].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    return hit / (k * len(queries))
+
+
+def test_neighbours_come_from_the_descent(spark):
+    """Over many blocks, the start knows few neighbours, and the search on it finds few; the descent finds them."""
+    rng = np.random.default_rng(9)
+    e = (rng.standard_normal((400, 24))[rng.integers(0, 400, 6000)] + 0.7 * rng.standard_normal((6000, 24))).astype(np.float32)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id long, embedding array<float>")
+    rows = ann.usable(df).select(F.col("vec_id").alias("node"), "e")
+    nodes = common.materialise(ann._nodes(rows), "nodes")
+    truth = [set(np.argsort(-(e @ e[i]))[1:21].tolist()) for i in range(0, 6000, 50)]
+
+    def known(graph):
+        near = {}
+        for r in graph.where("node % 50 = 0").collect():
+            near.setdefault(r.node, []).append((r.score, r.near))
+        return sum(len(t & {x for _, x in sorted(near[50 * i])[::-1][:20]}) for i, t in enumerate(truth)) / (20 * len(truth))
+
+    assert known(ann.neighbour_graph(nodes, 25, iterations=0)) < 0.6
+    assert known(ann.neighbour_graph(nodes, 25)) >= 0.9
+
+
+def test_one_long_vector_takes_nothing_from_the_others(spark):
+    rng = np.random.default_rng(2)
+    e = rng.standard_normal((1200, 12))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    e[7] *= 1e6
+    e[8] *= 1e-6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0).collect()
+    assert _recall(got, e, range(0, 1200, 20)) >= 0.9
+
+
 # 7
 
 
@@ -295,6 +346,32 @@ def test_lm_keeps_every_context(spark, docs):
         assert math.isclose(got[i], tree.score(lm.gram_codes([lm.words_of(t)])[0]).sum(), rel_tol=1e-6)
 
 
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    train, held = ([lm.words_of(t) for i, t in docs if (crc(i, 7) != 2) == learn] for learn in (True, False))
+    c = Counter(w for ws in train for w in ws)
+    n, v = sum(c.values()), len(c)
+    base = sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for ws in held for w in ws)
+    grams, counts = np.unique(lm.gram_codes(train)[0], return_counts=True)
+    by_length = []
+    for d in range(lm.DEPTH + 1):
+        keys, at = np.unique(grams & (1 << 8 * (d + 1)) - 1, return_inverse=True)
+        by_length.append((keys, np.bincount(at, counts)))
+    asked, n_asked = np.unique(lm.gram_codes(held)[0], return_counts=True)
+    assert (lm.ContextTree.build(by_length).score(asked) * n_asked).sum() > 0.95 * base
+
+
+def test_lm_defined_cases(spark):
+    """One id on all rows, null ids and texts, repeated rows, other columns, a long text; and nothing to learn from."""
+    rows = [(None, "a b c", 1)] * 40 + [(3, None, 2), (3, "a b", 2), (4, "w " * 30000, 3)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, score int").repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.score < 0 for r in got) and len({r.score for r in got if r.doc_id is None}) == 1
+    assert {r.n_tokens for r in got if r.doc_id == 3} == {1, 3} and not any(r.held_out for r in got if r.doc_id is None)
+    held = next(i for i in range(100) if crc(i, 7) == 2)
+    (one,) = lm.score_documents(spark.createDataFrame([(held, "a b")], SCHEMA)).collect()
+    assert (one.held_out, one.train_tokens, one.n_known) == (True, 0, 0) and one.score < 0
+
+
 def test_context_tree_against_recursion(monkeypatch):
     """The batch tree gives what the definition of context-tree weighting gives, by recursion over contexts."""
     monkeypatch.setattr(lm, "DEPTH", 2)
@@ -402,6 +479,12 @@ modification, are permitted provided that the following conditions are met:
     assert found[1].sentence_ids == ["mit-grant", "mit-notice", "as-is"] and found[2].sentence_ids == ["gpl3-terms", "gpl-hope"]
 
 
+def test_licence_names_and_identifiers(spark):
+    rows = ["Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Licensed under the BSD 3-Clause License", "// SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the Mozilla Public License 2.0.", "Licensed under the GNU Lesser General Public License,\nversion 2.1.", "x\n\nSPDX-License-Identifier: Apache-2.0\n\ny", "MIT " * 5000]
+    got = {r.doc_id: r.licences for r in license_scan.scan_licences(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(rows)], SCHEMA + ", licences string")).collect()}
+    assert got == {0: ["MIT"], 1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["GPL-2.0-or-later"], 4: ["MPL-2.0"], 5: ["LGPL-2.1-only"], 6: ["Apache-2.0"], 7: []}
+
+
 def test_licences_whatever_stands_between_words(spark):
     rows = [(i, t) for i, t in enumerate(["All  rights reserved.", "All rights\treserved", "All Rights-Reserved"])]
     assert {r.doc_id: r.licences for r in license_scan.scan_licences(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: ["proprietary"] for i in range(3)}
@@ -423,6 +506,54 @@ def test_quality(spark, odd, empty):
     assert quality.fit(quality.sample_labelled(docs, labels.limit(0))).score(["x", ""]).tolist() == [0.5, 0.5]
 
 
+def test_quality_by_brute_force(spark):
+    """Scores are the votes of the nearest by a plain loop over the model's vectors; words count, not shapes alone; ties and odd labels."""
+    good, bad = "calm river water flows down", "spend money quick cheap deal"
+    rows = [(i, f"{good if i % 2 else bad} {i % 5}", i % 2) for i in range(80)] + [(200, "x", None), (1, f"{good} 1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.fit(docs)
+    texts = [good, bad, "", "water river", f"{good} 1"]
+    got = quality.with_quality(spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], SCHEMA + ", score double"), model).orderBy("doc_id").collect()
+    for t, r in zip(texts, got, strict=True):
+        v = (quality._halves(quality.counts_of([t]), model.rarity) @ model.projection)[0]
+        v = v / (np.linalg.norm(v) or 1)
+        cosines = [float(v @ w) for w in model.vectors]
+        near = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: quality.NEIGHBOURS]
+        weights = [max(cosines[k], 0) ** quality.SHARPNESS for k in near]
+        if len({round(cosines[k], 5) for k in near}) == len(near):
+            assert math.isclose(r.score, sum(w * model.labels[k] for w, k in zip(weights, near, strict=True)) / sum(weights), abs_tol=1e-4)
+    assert got[0].score > 0.9 and got[1].score < 0.1 and len(model.labels) == 81
+
+
+def test_language_by_brute_force(spark):
+    """Cosines of plainly bound and bundled vectors."""
+    train = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund lief durch das haus", "de"), (3, None, "fr"), (4, "x", None)], SCHEMA + ", lang string")
+    prototypes = langid.fit(train)
+    space = langid.LetterSpace()
+
+    def bundle(text):
+        kept = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        kept = re.sub(" +", " ", kept)
+        v = np.zeros(langid.DIM)
+        for a, b, c in zip(kept, kept[1:], kept[2:], strict=False):
+            if b != " ":
+                one = lambda x: space._vector(0 if x == " " else ord(x))
+                v += np.roll(one(a), 2) * np.roll(one(b), 1) * one(c)
+        return v / (np.linalg.norm(v) or 1)
+
+    want = {k: bundle(t) for k, t in (("en", "the cat sat on the mat"), ("de", "der hund lief durch das haus"))}
+    assert sorted(prototypes) == ["de", "en"] and all(np.allclose(prototypes[k], want[k], atol=1e-5) for k in want)
+    texts = ["the dog sat", "das haus", "Ein, Hund!", "123", None, "日本語"]
+    got = langid.with_language(spark.createDataFrame(list(enumerate(texts)), SCHEMA), prototypes).orderBy("doc_id").collect()
+    for t, r in zip(texts, got, strict=True):
+        cosines = {k: max(0.0, float(bundle(t or "") @ w)) for k, w in want.items()}
+        if t is None or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert math.isclose(r.score, max(cosines.values()), abs_tol=1e-5)
+            assert max(cosines.values()) == 0 or r.lang_pred == max(cosines, key=cosines.get)
+
+
 # all
 
 
@@ -441,6 +572,24 @@ def test_queries_run_whole_tables(spark, name):
         assert clean(got) == clean(want)
 
 
+def test_pipeline_stages_on_nulls_and_nothing(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, None, None, None, None), (None, "null id here", "en", None, 1), (2, "a short clean text", None, "s", 1), (3, "a short  clean text", None, "s", 1), (2, "a short clean text", None, "s", 1)]
+    for given in ([], rows):
+        docs = spark.createDataFrame(given, schema)
+        docs.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.materialise(stage(spark, docs, str(tmp_path)), name)
+            if name == "language_id":
+                assert docs.count() == max(0, len(given) - 1)  # nothing learned: texts with a letter stay
+            if name == "exact_dedup":
+                assert docs.count() == (2 if given else 0)
+                docs = docs.where("true")
+        assert docs.count() == (0 if not given else docs.count())
+
+
 def test_pipeline_against_its_parts(spark, docs):
     """What is left is what brute force leaves of the documents that both classifiers keep."""
     frame = spark.read.parquet(f"{SF}/documents.parquet")
