@@ -35,9 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score below the limit. Learns from the labelled part of the whole documents table."""
+    """Drops documents that score below the limit. Learns from the labelled part of the whole documents table; without labels all stay."""
     labels = table(spark, sf_dir, "labels").where(in_thirds("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(quality.sample_labelled(table(spark, sf_dir, "documents"), labels))
+    if not len(model.labels):
+        return docs
     return docs.where(quality.scorer(model)(F.col("text")) >= quality.GOOD)
 
 
