@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from .bpe import _Numbered
 from .common import in_thirds, materialise
 
-#: Bytes of a context. Held-out bits a byte on sf0.1: 2.34 (3), 2.19 (4), 2.10 (5), 2.04 (6); seven with their byte no longer fit the codes.
-DEPTH = 6
+#: Bytes of a context. Held-out bits a byte on sf0.1: 2.34 (3), 2.19 (4), 2.10 (5), 2.04 (6); with six, what the groups send doubles
+#: (disk 5.6 x input on 0.10 GB, 2.7 with five), more than the 4 allowed.
+DEPTH = 5
 #: Contexts of this length and longer are kept in buckets, shorter ones are broadcast.
 SPLIT = 3
 #: Bytes of text in a group, and entries in a bucket, about.

@@ -358,7 +358,7 @@ def test_lm_beats_the_base_on_held_out_documents(spark):
         keys, at = np.unique(grams & (1 << 8 * (d + 1)) - 1, return_inverse=True)
         by_length.append((keys, np.bincount(at, counts)))
     asked, n_asked = np.unique(lm.gram_codes(held)[0], return_counts=True)
-    assert (lm.ContextTree.build(by_length).score(asked) * n_asked).sum() > 0.95 * base
+    assert (lm.ContextTree.build(by_length).score(asked) * n_asked).sum() > 0.97 * base
 
 
 def test_lm_defined_cases(spark):
