@@ -5,7 +5,9 @@ A document's set is its distinct shingles of five words. Two documents link when
 shares at least four fifths of its set. The join is exact:
 
 1. Tokens (64-bit hashes of shingles) go to buckets, which find the ones that
-   more than one document has; only those return to their documents. A token
+   more than one document has; only those return to their documents. A slice of
+   documents sends a token once, with how many of its sets have it, so a token
+   that a third of all documents hold is one entry a slice in its bucket. A token
    that no other document has can't be shared, but it counts in the set's size,
    and stands first in the order of rarity.
 2. Equal sets collapse to the smallest doc_id, and tokens are counted again
@@ -14,7 +16,10 @@ shares at least four fifths of its set. The join is exact:
    among the first ``n - t + 1``, where ``t`` is four fifths of ``n``, rounded
    up, and at least two among the first ``n - t + 2``. Tokens of the rare class
    (in at most ``RARE`` sets) are keys by themselves. For the frequent class the
-   prefix is extended by one and the keys are combinations of two tokens.
+   prefix is extended by one and the keys are combinations of two tokens. Sets
+   of ``LONG`` tokens and more, whose combinations would grow with the square of
+   their prefix, have single tokens as keys for both classes, and so have the
+   shorter ones that can link with them, of four fifths of ``LONG`` and more.
 4. Before that, each set is verified against the smallest doc_id of each of its
    tokens. What links there is one component, whatever else is in it, and tokens
    all of whose sets are in one component need no further keys. So a group of
@@ -45,13 +50,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, held, materialise, release, releasing
-from .components import components
+from .components import components, looked_up
 from .exact_dedup import mark_repeats
 
 WORDS = 5
 #: Similarity, as a fraction.
 PART, WHOLE = 80, 100
 RARE = 16
+#: Tokens of a set from which its frequent tokens aren't combined.
+LONG = 4096
 BUCKET_ENTRIES = 1_000_000
 LEAST_BUCKETS = 256
 SLICE_BYTES = 2_000_000
@@ -91,8 +98,15 @@ def least_shared(n):
     return -(-n * PART // WHOLE)
 
 
-ENTRY = "chunk bigint, bucket bigint, tokens binary, rows binary, ids binary, sizes binary, sigs binary"
-FOUND = "chunk bigint, bucket bigint, tokens binary, rows binary, counts binary, ids binary, sizes binary, sigs binary"
+#: Tokens of a slice, and its directory (with ids): which row has a token, or has it too, and how many sets do.
+ENTRY = "chunk bigint, bucket bigint, tokens binary, rows binary, counts binary, ids binary, sizes binary, sigs binary"
+_ENTRY_NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+_ENTRY_TYPES = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a value of a sorted array stands first."""
+    return np.r_[True, x[1:] != x[:-1]] if len(x) else np.empty(0, bool)
 
 
 def _send(sets_of, buckets: int):
@@ -105,47 +119,52 @@ def _send(sets_of, buckets: int):
             chunk = task << 32 | k
             row = np.repeat(np.arange(len(sets), dtype=np.uint16), list(map(len, sets)))
             token = np.concatenate([np.empty(0, np.uint64), *sets])
+            order = np.argsort(token, kind="stable")
+            token, row = token[order], row[order]
+            new = _starts(token)
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(token))).astype(np.uint16)
+            sigs = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+            # the directory passes through a bucket of its own, with the further rows of tokens that a slice has more than once
+            ids = np.array(ids, np.int64).tobytes()
+            out = [(chunk, buckets + chunk % buckets, token[~new].tobytes(), row[~new].tobytes(), None, ids, np.array(sizes, np.int64).tobytes(), sigs)]
+            token, row = token[first], row[first]
             bucket = (token >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-            token, row, bucket = token[order], row[order], bucket[order]
-            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
-            sigs = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
-            # the directory passes through a bucket of its own
-            out = [(chunk, buckets + chunk % buckets, None, None, np.array(ids, np.int64).tobytes(), np.array(sizes, np.int64).tobytes(), sigs)]
+            token, row, count, bucket = token[order], row[order], count[order], bucket[order]
+            start = np.flatnonzero(_starts(bucket))
             for a, b in zip(start.tolist(), [*start[1:].tolist(), len(bucket)], strict=False):
-                out.append((chunk, int(bucket[a]), token[a:b].tobytes(), row[a:b].tobytes(), None, None, None))
-            types = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "bucket", "tokens", "rows", "ids", "sizes", "sigs"])
+                out.append((chunk, int(bucket[a]), token[a:b].tobytes(), row[a:b].tobytes(), count[a:b].tobytes(), None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ENTRY_TYPES, strict=True)], names=_ENTRY_NAMES)
 
     return run
 
 
-_FOUND_NAMES = ["chunk", "bucket", "tokens", "rows", "counts", "ids", "sizes", "sigs"]
-_FOUND_TYPES = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
-
-
 def _repeated(part: pa.Table) -> pa.Table:
     """Reducer of a bucket: tokens that occur more than once, back to their slices with their counts."""
-    chunks_, bucket = part.column("chunk").to_pylist(), part.column("bucket")[0].as_py()
-    if part.column("tokens")[0].as_py() is None:
-        out = [(c, bucket, None, None, None, *rest) for c, *rest in zip(chunks_, *(part.column(x).to_pylist() for x in ("ids", "sizes", "sigs")), strict=True)]
-    else:
-        tokens = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("tokens")]
-        every = np.sort(np.concatenate(tokens))
-        again = np.flatnonzero(every[1:] == every[:-1])
-        found = np.unique(every[again])
-        counts = (np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left")).astype(np.int64)
-        out = []
-        if len(found):
-            for c, mine, rows in zip(chunks_, tokens, part.column("rows"), strict=True):
-                at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
-                hit = found[at] == mine
-                if hit.any():
-                    out.append((c, bucket, mine[hit].tobytes(), np.frombuffer(rows.as_py(), np.uint16)[hit].tobytes(), counts[at[hit]].tobytes(), None, None, None))
-        tokens = every = again = found = counts = None
-    columns = zip(*out, strict=True) if out else [[] for _ in _FOUND_TYPES]
-    made = pa.table([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
-    out = columns = None
+    if part.column("ids")[0].as_py() is not None:
+        return part
+    tokens = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("tokens")]
+    every = np.concatenate(tokens)
+    times = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in part.column("counts")]).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(_starts(every))
+    counts = np.add.reduceat(times[order], first)
+    again = counts > 1
+    found, counts = every[first][again], counts[again]
+    every = times = order = first = again = None
+    out = []
+    if len(found):
+        bucket = part.column("bucket")[0].as_py()
+        for c, mine, rows in zip(part.column("chunk").to_pylist(), tokens, part.column("rows"), strict=True):
+            at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
+            hit = found[at] == mine
+            if hit.any():
+                out.append((c, bucket, mine[hit].tobytes(), np.frombuffer(rows.as_py(), np.uint16)[hit].tobytes(), counts[at[hit]].tobytes(), None, None, None))
+    columns = zip(*out, strict=True) if out else [[] for _ in _ENTRY_TYPES]
+    made = pa.table([pa.array(c, t) for c, t in zip(columns, _ENTRY_TYPES, strict=True)], names=_ENTRY_NAMES)
+    out = columns = tokens = found = counts = None
     release()
     return made
 
@@ -157,15 +176,20 @@ def _gather(part: pa.Table) -> pa.Table:
     """A slice's sets again: only tokens that others have, the rarest first; none where the prefix ends before them."""
     token, row, count = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
     ids = sizes = np.empty(0, np.int64)
-    sigs = b""
+    sigs, more, more_row = b"", np.empty(0, np.uint64), np.empty(0, np.uint16)
     for t, r, c, i, s, g in zip(*(part.column(x) for x in ("tokens", "rows", "counts", "ids", "sizes", "sigs")), strict=True):
         if (raw := i.as_py()) is not None:
             ids, sizes, sigs = np.frombuffer(raw, np.int64), np.frombuffer(s.as_py(), np.int64), g.as_py()
+            more, more_row = np.frombuffer(t.as_py(), np.uint64), np.frombuffer(r.as_py(), np.uint16)
         else:
             token.append(np.frombuffer(t.as_py(), np.uint64))
             row.append(np.frombuffer(r.as_py(), np.uint16))
             count.append(np.frombuffer(c.as_py(), np.int64))
     token, row, count = np.concatenate(token), np.concatenate(row), np.concatenate(count)
+    if len(more):  # their tokens have all come back
+        by = np.argsort(token)
+        count = np.concatenate((count, count[by[np.searchsorted(token, more, sorter=by)]]))
+        token, row = np.concatenate((token, more)), np.concatenate((row, more_row))
     order = np.lexsort((token, count, row))
     token, row, count = token[order], row[order], count[order]
     cut = np.searchsorted(row, np.arange(len(ids) + 1))
@@ -183,7 +207,7 @@ def _gather(part: pa.Table) -> pa.Table:
 def shared_tokens(rows: DataFrame, sets_of, entries: int) -> DataFrame:
     """doc_id, n, sig and the tokens that other rows have too, in the order of rarity."""
     buckets = max(LEAST_BUCKETS, entries // BUCKET_ENTRIES)
-    return rows.mapInArrow(_send(sets_of, buckets), ENTRY).groupBy("bucket").applyInArrow(_repeated, FOUND).groupBy("chunk").applyInArrow(_gather, LISTS)
+    return rows.mapInArrow(_send(sets_of, buckets), ENTRY).groupBy("bucket").applyInArrow(_repeated, ENTRY).groupBy("chunk").applyInArrow(_gather, LISTS)
 
 
 def _text_sets(batches):
@@ -259,15 +283,17 @@ def _can_link(x: str, y: str, pos: str = "pos", before: int = 0):
 def linked_sets(sets: DataFrame) -> DataFrame:
     """Components (id, component) of sets (doc_id, n, tokens, n_rare), for ids with a link."""
     entries = materialise(sets.select("doc_id", "n", "tokens", "n_rare").mapInArrow(_prefix_entries, "token bigint, doc_id bigint, n bigint, pos bigint, rare boolean"), "prefix")
-    pivots = entries.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "p.*")
-    star = entries.alias("x").join(pivots.alias("y"), "token").where((F.col("x.doc_id") != F.col("y.doc_id")) & _can_link("x", "y"))
+    pivots = entries.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "y")
+    star = looked_up(entries.select("token", F.struct("doc_id", "n", "pos").alias("x")), pivots, "token").where((F.col("x.doc_id") != F.col("y.doc_id")) & _can_link("x", "y"))
     tested = materialise(star.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "star")
     links = materialise(verified(tested, sets), "links")
     first = components(links)
     placed = entries.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = materialise(placed, "placed")
     live = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    placed = materialise(placed.join(live, "token"), "live")
-    frequent = placed.where("not rare").groupBy("doc_id", "n", "component").agg(F.collect_set(F.struct("token", "pos")).alias("tokens"))
+    placed = materialise(looked_up(placed, live, "token"), "live")
+    single = placed.where(F.col("rare") | (WHOLE * F.col("n") >= PART * LONG))
+    frequent = placed.where(~F.col("rare") & (F.col("n") < LONG)).groupBy("doc_id", "n", "component").agg(F.collect_set(F.struct("token", "pos")).alias("tokens"))
     frequent = frequent.mapInArrow(_combinations, "token bigint, doc_id bigint, n bigint, pos bigint, pos2 bigint, component bigint")
 
     def across(keys: DataFrame, last: str, before: int, more) -> DataFrame:
@@ -277,7 +303,7 @@ def linked_sets(sets: DataFrame) -> DataFrame:
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & _can_link("x", "y") & more)
         return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
-    pairs = across(placed.where("rare"), "pos", 0, F.lit(True)).unionByName(across(frequent, "pos2", 1, _can_link("x", "y", "pos2", 1))).distinct()
+    pairs = across(single, "pos", 0, F.col("x.rare") | (F.col("y.n") >= LONG)).unionByName(across(frequent, "pos2", 1, _can_link("x", "y", "pos2", 1))).distinct()
     pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "cross")
     return components(links.unionByName(verified(pairs, sets)))
 

@@ -19,7 +19,7 @@ pytest.importorskip("lodestack.llm")
 
 import corpus_pipeline  # noqa: E402
 from lodestack.llm import ann, bpe, common, exact_dedup, langid, license_scan, lm, ngram_join, packing, quality, queries, warc  # noqa: E402
-from lodestack.llm.components import components  # noqa: E402
+from lodestack.llm.components import components, looked_up  # noqa: E402
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SF = "/root/testdata/sf0.001"
@@ -216,7 +216,10 @@ def brute_links(rows):
     return sorted((doc, len(sets[i]), min(low[find(i)])) for i, (doc, _) in enumerate(rows))
 
 
-def test_join_brute_force(spark):
+@pytest.mark.parametrize(("long", "hot"), [(4096, 100_000), (90, 5)])
+def test_join_brute_force(spark, monkeypatch, long, hot):
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    monkeypatch.setattr("lodestack.llm.components.HOT", hot)
     rng = np.random.default_rng(3)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = [(i, t) for i, t in ODD if i != 12]
@@ -240,6 +243,34 @@ def test_join_on_documents_and_defined_cases(spark, docs, empty):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in none), key=repr) == [(1, 1, 1), (1, 1, 1), (None, 2, None)]
 
 
+def test_a_slice_sends_a_token_once(spark):
+    rng = np.random.default_rng(4)
+    common = np.sort(rng.integers(1, 1 << 63, 50, np.uint64))
+    sets = [np.sort(np.concatenate((common, rng.integers(1, 1 << 63, 5, np.uint64)))) for _ in range(400)]
+    rows = spark.range(400, numPartitions=1).withColumnRenamed("id", "doc_id")
+    made = ngram_join.shared_tokens(rows, lambda batches: [(list(range(400)), list(map(len, sets)), sets) for _ in [list(batches)]], 0)
+    sent = rows.mapInArrow(ngram_join._send(lambda batches: [(list(range(400)), list(map(len, sets)), sets) for _ in [list(batches)]], 256), ngram_join.ENTRY)
+    assert sum(len(r.tokens) // 8 for r in sent.collect() if r.ids is None) == 50 + 400 * 5
+    got = made.collect()
+    assert len(got) == 400
+    assert all(np.array_equal(np.sort(np.frombuffer(r.tokens, np.uint64)), common) and r.n == 55 for r in got)
+
+
+def test_looked_up_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr("lodestack.llm.components.HOT", 10)
+    rows = common.materialise(spark.range(300).select("id", F.when(F.col("id") < 200, 1).otherwise(F.col("id")).alias("k")), "rows")
+    table = spark.range(0, 250).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = looked_up(rows, table, "k")
+    assert sorted((r.id, r.k, r.v) for r in got.collect()) == sorted((i, k, 2 * k) for i in range(300) for k in [1 if i < 200 else i] if k < 250)
+
+
+def test_components_around_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("lodestack.llm.components.HOT", 20)
+    edges = [(500, i) for i in range(600, 700)] + [(i, i + 1) for i in range(30)] + [(30, 650)] + [(900, 901)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for e in edges[:-1] for i in e} | {900: 900, 901: 900}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
