@@ -52,6 +52,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 4_000_000
 #: Bytes of neighbouring records that are read at a time.
 RANGE_BYTES = 1_000_000
+#: Ranges that a task reads, about.
+TASK_RANGES = 16
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ID = "urn:page:"
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -316,6 +318,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 rows = [row_of(raw[x["at"] - begin :][: x["n"]]) for x in places]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    # a row for a range: what is dealt out is small
-    ranges = record_ranges(archives)
-    return ranges.repartition("path", "places").mapInArrow(run, READ + (", payload binary" if with_payload else ""))
+    # a row for a range: these are small, so a number of tasks by their bytes would be one for them all
+    ranges = materialise(record_ranges(archives), "ranges")
+    tasks = -(-ranges.count() // TASK_RANGES) or 1
+    return ranges.repartition(tasks, "path", "places").mapInArrow(run, READ + (", payload binary" if with_payload else ""))
