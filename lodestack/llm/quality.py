@@ -4,17 +4,17 @@ A text's terms are its words (lower case) and its run trigrams: runs are letters
 by case and length, digits, blanks, line ends and each other ASCII character. Both
 are counted in hashed buckets, weighted by rarity, each half brought to a length of
 its own, and projected to the latent semantic space of a bounded sample of labelled
-documents (``FIT_ROWS``, by a hash of the id), so that what a text says and what it
-looks like both count. The
-sample's vectors are broadcast; every document's cosine with each of them is
-taken in blocks, exactly, and the nearest vote with their similarity as weight.
+documents (``FIT_ROWS``, by a hash of the id, and of the row where ids repeat), so
+that what a text says and what it looks like both count. The sample's vectors are
+broadcast; every document's cosine with each of them is taken in blocks, exactly,
+and the nearest vote with their similarity as weight.
 
 Defined cases: null and empty texts have no direction and score the share of
 good labels; with nothing to learn from all score 0.5; null labels and ids teach
-nothing; a document labelled twice votes twice; ties among neighbours go to the
-smaller place in the sample, which is ordered by id; repeated rows are each
-scored; an empty table gives an empty result; other columns pass through, and
-ones named score or predicted are replaced.
+nothing; a document labelled or listed twice votes twice, as far as the sample
+goes; ties among neighbours go to the smaller place in the sample, which is ordered
+by id; repeated rows are each scored; an empty table gives an empty result; other
+columns pass through, and ones named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held, releasing, text_slices
+from .common import chunks, held, materialise, releasing, text_slices
 
 #: About so many labelled rows are learned from and broadcast.
 FIT_ROWS = 4_000
@@ -151,18 +151,32 @@ class Model:
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """labelled: doc_id, text, label (0 or 1), all to be learned from. The driver gets ``rows`` rows of counts, not texts."""
+    """labelled: doc_id, text, label (0 or 1), all to be learned from, and votes if a row stands for several; read twice, and alike.
+
+    The driver gets about ``rows`` rows of counts at most, not texts, however often
+    ids and rows repeat: beyond an eighth more, each row stays by a hash, and equal
+    ones come once with how many of them stay.
+    """
     labelled = labelled.where("label is not null and doc_id is not null")
+    votes = F.col("votes") if "votes" in labelled.columns else F.lit(1).cast("bigint")
+    labelled = labelled.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), F.coalesce("text", F.lit("")).alias("text"), votes.alias("votes")).withColumn("row", F.xxhash64("doc_id", "label", "text"))
+    equal = materialise(labelled.groupBy("row").agg(F.sum("votes").alias("n")), "labelled")
+    total = equal.agg(F.sum("n")).first()[0] or 0
+    share = 1.0 if total <= rows * 9 // 8 else rows / total
+    by_chance = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 20)) / (1 << 20)
+    copies = equal.select("row", F.floor(F.col("n") * share + by_chance).cast("bigint").alias("copies")).where("copies > 0")
+    once = labelled.drop("votes").join(F.broadcast(copies), "row").dropDuplicates(["row"]).repartition(labelled.sparkSession.sparkContext.defaultParallelism)
 
     @releasing
     def vectors(batches):
         for part in chunks(batches, "text", SLICE_CHARS):
             for i in range(0, part.num_rows, BLOCK):
                 block = part.slice(i, BLOCK)
-                found = counts_of([t or "" for t in block.column("text").to_pylist()]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "v"])
+                found = counts_of(block.column("text").to_pylist()).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([*map(block.column, ("doc_id", "label", "row", "copies")), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "row", "copies", "v"])
 
-    pdf = labelled.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text").mapInArrow(vectors, "doc_id bigint, label int, v binary").toPandas().sort_values("doc_id", kind="stable")
+    pdf = once.select("doc_id", "label", "row", "copies", "text").mapInArrow(vectors, "doc_id bigint, label int, row bigint, copies bigint, v binary").toPandas().sort_values(["doc_id", "row"])
+    pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
     labels = pdf["label"].to_numpy(float)
     if not len(pdf):
         return Model(np.zeros(BUCKETS + WORD_BUCKETS, np.float32), np.zeros((BUCKETS + WORD_BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
@@ -174,11 +188,15 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text and label of about ``rows`` labelled documents. labels: doc_id, label; only the sample is broadcast."""
-    labels = labels.where("label is not null and doc_id is not null")
+    """doc_id, text, label and votes of the documents of about ``rows`` labelled ids. labels: doc_id, label; only the sample is broadcast.
+
+    An id that is labelled alike more than once has so many votes; one that
+    documents repeat gives all its rows, of which ``fit`` takes a bounded part.
+    """
+    labels = labels.where("label is not null and doc_id is not null").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("votes"))
     share = min(1.0, rows / max(labels.count(), 1))
     chosen = labels.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def scorer(model: Model):

@@ -556,6 +556,22 @@ def test_quality_by_brute_force(spark):
     assert got[0].score > 0.9 and got[1].score < 0.1 and len(model.labels) == 81
 
 
+def test_quality_learns_bounded_rows(spark):
+    """Ids that documents and labels repeat don't multiply what is learned from; below the bound every row counts."""
+    texts = [f"{'calm river water flows down' if i % 2 else 'spend money quick cheap deal'} {i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 20, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 20, "doc_id long, label int")
+    model = quality.fit(quality.sample_labelled(docs, labels, 200), 200)
+    assert 100 <= len(model.labels) <= 300 and 0.3 < model.base < 0.7
+    got = model.score(["calm river water flows", "spend money quick cheap"])
+    assert got[0] > 0.9 and got[1] < 0.1
+    one_id = docs.limit(1200).select(F.lit(5).cast("long").alias("doc_id"), F.concat("text", F.lit(" "), F.monotonically_increasing_id().cast("string")).alias("text"))
+    one_id = common.materialise(one_id, "one_id")  # read twice, so written
+    assert 50 <= len(quality.fit(quality.sample_labelled(one_id, labels, 100), 100).labels) <= 150
+    few = quality.fit(quality.sample_labelled(docs.dropDuplicates(["doc_id"]), labels.where("doc_id < 10").unionByName(labels.where("doc_id = 0").limit(2))))
+    assert len(few.labels) == 10 * 20 + 2 and few.labels.sum() == 5 * 20
+
+
 def test_language_by_brute_force(spark):
     """Cosines of plainly bound and bundled vectors."""
     train = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund lief durch das haus", "de"), (3, None, "fr"), (4, "x", None)], SCHEMA + ", lang string")
