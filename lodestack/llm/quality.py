@@ -5,7 +5,8 @@ by case and length, digits, blanks, line ends and each other ASCII character. Bo
 are counted in hashed buckets, weighted by rarity, each half brought to a length of
 its own, and projected to the latent semantic space of a bounded sample of labelled
 documents (``FIT_ROWS``, by a hash of the id, and of the row where ids repeat), so
-that what a text says and what it looks like both count. The sample's vectors are
+that what a text says and what it looks like both count. The driver holds the
+sample's counts packed and works on a block of them at a time. The sample's vectors are
 broadcast; every document's cosine with each of them is taken in blocks, exactly,
 and the nearest vote with their similarity as weight.
 
@@ -19,7 +20,7 @@ columns pass through, and ones named score or predicted are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held, materialise, releasing, text_slices
+from .common import chunks, held, materialise, release, releasing, text_slices
 
 #: About so many labelled rows are learned from and broadcast.
 FIT_ROWS = 4_000
@@ -115,12 +116,34 @@ def _halves(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return np.hstack((_unit(weighted[:, :BUCKETS]), WORD_LENGTH * _unit(weighted[:, BUCKETS:])))
 
 
-def _leading(rows: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors, by subspace iteration."""
-    q = np.random.default_rng(11).standard_normal((rows.shape[1], min(rank + 16, *rows.shape))).astype(np.float32)
+def _packed(counts: np.ndarray) -> list[bytes]:
+    """Rows in half precision: places and values of what isn't zero, or all values where that is no longer."""
+    out = []
+    for row in counts.astype(np.float16):
+        at = np.flatnonzero(row)
+        out.append(at.astype(np.uint16).tobytes() + row[at].tobytes() if 2 * len(at) < len(row) else row.tobytes())
+    return out
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), BUCKETS + WORD_BUCKETS), np.float32)
+    for to, row in zip(out, rows, strict=True):
+        both = np.frombuffer(row, np.uint16)
+        if len(both) == len(to):
+            to[:] = both.view(np.float16)
+        else:
+            at, value = np.split(both, 2)
+            to[at] = value.view(np.float16)
+    return out
+
+
+def _leading(blocks: Callable[[], Iterator[np.ndarray]], rows: int, rank: int) -> np.ndarray:
+    """The leading right singular vectors of so many rows, which come in blocks, by subspace iteration."""
+    width = BUCKETS + WORD_BUCKETS
+    q = np.random.default_rng(11).standard_normal((width, min(rank + 16, rows, width))).astype(np.float32)
     for _ in range(6):
-        q, _ = np.linalg.qr(rows.T @ (rows @ q))
-    _, _, turned = np.linalg.svd(rows @ q, full_matrices=False)
+        q, _ = np.linalg.qr(sum(b.T @ (b @ q) for b in blocks()))
+    _, _, turned = np.linalg.svd(np.vstack([b @ q for b in blocks()]), full_matrices=False)
     return (q @ turned.T)[:, :rank]
 
 
@@ -153,9 +176,9 @@ class Model:
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     """labelled: doc_id, text, label (0 or 1), all to be learned from, and votes if a row stands for several; read twice, and alike.
 
-    The driver gets about ``rows`` rows of counts at most, not texts, however often
+    The driver gets about ``rows`` rows of packed counts at most, not texts, however often
     ids and rows repeat: beyond an eighth more, each row stays by a hash, and equal
-    ones come once with how many of them stay.
+    ones come once with how many of them stay. It unpacks ``BLOCK`` of them at a time.
     """
     labelled = labelled.where("label is not null and doc_id is not null")
     votes = F.col("votes") if "votes" in labelled.columns else F.lit(1).cast("bigint")
@@ -172,19 +195,28 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
         for part in chunks(batches, "text", SLICE_CHARS):
             for i in range(0, part.num_rows, BLOCK):
                 block = part.slice(i, BLOCK)
-                found = counts_of(block.column("text").to_pylist()).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([*map(block.column, ("doc_id", "label", "row", "copies")), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "row", "copies", "v"])
+                packed = _packed(counts_of(block.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([*map(block.column, ("doc_id", "label", "row", "copies")), pa.array(packed, pa.binary())], names=["doc_id", "label", "row", "copies", "v"])
 
-    pdf = once.select("doc_id", "label", "row", "copies", "text").mapInArrow(vectors, "doc_id bigint, label int, row bigint, copies bigint, v binary").toPandas().sort_values(["doc_id", "row"])
-    pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
-    labels = pdf["label"].to_numpy(float)
-    if not len(pdf):
+    found = once.select("doc_id", "label", "row", "copies", "text").mapInArrow(vectors, "doc_id bigint, label int, row bigint, copies bigint, v binary").collect()
+    found = [r for r in sorted(found, key=lambda r: (r.doc_id, r.row)) for _ in range(r.copies)]
+    labels = np.array([r.label for r in found], float)
+    if not found:
         return Model(np.zeros(BUCKETS + WORD_BUCKETS, np.float32), np.zeros((BUCKETS + WORD_BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
-    counts = np.stack([np.frombuffer(v, np.float16) for v in pdf["v"]]).astype(np.float32)
-    rarity = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    weighted = _halves(counts, rarity)
-    projection = _leading(weighted, RANK)
-    return Model(rarity, projection, _unit(weighted @ projection), labels, float(labels.mean()))
+
+    def counts() -> Iterator[np.ndarray]:
+        return (_unpacked([r.v for r in found[at : at + BLOCK]]) for at in range(0, len(found), BLOCK))
+
+    rarity = (np.log((1 + len(found)) / (1 + sum((c > 0).sum(axis=0) for c in counts()))) + 0.1).astype(np.float32)
+
+    def weighted() -> Iterator[np.ndarray]:
+        return (_halves(c, rarity) for c in counts())
+
+    projection = _leading(weighted, len(found), RANK)
+    model = Model(rarity, projection, np.vstack([_unit(w @ projection) for w in weighted()]), labels, float(labels.mean()))
+    del found
+    release()
+    return model
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

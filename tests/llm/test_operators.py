@@ -5,6 +5,7 @@ import io
 import math
 import os
 import re
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter
@@ -572,6 +573,32 @@ def test_quality_learns_bounded_rows(spark):
     assert len(few.labels) == 10 * 20 + 2 and few.labels.sum() == 5 * 20
 
 
+def test_quality_learns_in_blocks(spark):
+    """The driver holds no table of all counts, and finds the model that one would give; long and empty texts, rows that repeat."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.when(F.col("id") % 50 == 0, 9000).otherwise(60)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(5000) + F.col("id") % 2 * 3000))))
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 != 7, words).alias("text"), (F.col("id") % 2).cast("int").alias("label"))
+    rows = common.materialise(rows.unionByName(rows.where("doc_id < 20")), "rows")
+    quality.fit(rows.limit(10))
+    tracemalloc.start()
+    try:
+        model = quality.fit(rows)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+    given = sorted(((r.doc_id, r.text or "", r.label) for r in rows.collect()), key=lambda r: r[0])
+    counts = np.vstack([quality.counts_of([t]) for _, t, _ in given]).astype(np.float16).astype(np.float32)
+    assert model.labels.tolist() == [label for _, _, label in given] and model.base == model.labels.mean()
+    assert np.array_equal(model.rarity, (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32))
+    table = quality._halves(counts, model.rarity).astype(float)
+    want = quality._unit(table @ model.projection.astype(float))
+    assert np.allclose(model.vectors, want, atol=1e-4) and model.vectors.shape == (2020, quality.RANK)
+    assert np.allclose(model.projection.T @ model.projection, np.eye(quality.RANK), atol=1e-4)
+    most = (np.linalg.eigvalsh(table @ table.T)[-quality.RANK :]).sum()
+    assert (np.square(table @ model.projection)).sum() > 0.97 * most
+    for c in (counts[:3], counts[-1:] * 0):
+        assert np.array_equal(quality._unpacked(quality._packed(c)), c)
+
+
 def test_language_by_brute_force(spark):
     """Cosines of plainly bound and bundled vectors."""
     train = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund lief durch das haus", "de"), (3, None, "fr"), (4, "x", None)], SCHEMA + ", lang string")
