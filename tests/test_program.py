@@ -310,6 +310,12 @@ def test_commands(spark, tmp_path):
     assert spark.sql("select render_program(tokenize_basic('print  1')) as t").first().t == "PRINT 1\n"
 
 
+def test_a_line_number_beyond_a_word_is_a_line(spark):
+    sources = spark.createDataFrame([("a", "70000 GOTO 70000\n10 GOTO Far\nFar: X = 1\n")], "path string, text string")
+    found = commands.names(spark, program.tokenize(sources)).collect()
+    assert {(r.kind, r.name) for r in found} == {("line", "70000"), ("line", "10"), ("label", "Far"), ("name", "X")}
+
+
 def test_formatting_settles():
     once = round_trip("dim shared t as integer\nfor i=1 to 10\nnext i", by_name=False)
     assert round_trip("\n".join(once), by_name=False) == once
