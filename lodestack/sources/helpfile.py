@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .binary import scan_binary
 
 # Fixed values of the format: magic, places of the counts, the name and the six section offsets, words of the code tree.
@@ -122,7 +123,7 @@ def parse(data: bytes) -> dict:
 
 
 def _parsed(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in content:
+    for batch in slices(content):
         yield pd.DataFrame([parse(b or b"") for b in batch], columns=["name", "contexts", "topics", "error"])
 
 

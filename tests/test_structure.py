@@ -2,11 +2,12 @@
 
 import struct
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import decode, structure
-from lodestack.sources import helpfile, opcodes
+from lodestack.operators import decode, render, structure
+from lodestack.sources import batches, helpfile, opcodes
 
 OPS = opcodes.Table([opcodes.Op(10, "TEXT_LINE", ("str",), 0, "", "stmt"), opcodes.Op(0x0200, "WIDE", ("u32", "ref"), None, "", "stmt"), opcodes.Op(0x0202, "FAR", ("f64",), None, "", "stmt", True)])
 TRAILER = struct.pack("<8H", 65535, 65535, 65535, 65535, 2, 0, 0, 0x0102)
@@ -43,6 +44,31 @@ BAD = {
 }
 
 
+MANY = 1_000
+READERS = {
+    "parse_names": lambda f: structure.parse_names(f), "parse_sections": lambda f: structure.parse_sections(f), "decode_sections": lambda f: decode.decode_sections(structure.parse_sections(f)),
+    "render_lines": lambda f: render.render_lines(f), "render_files": lambda f: render.render_files(f),
+}
+
+
+@pytest.mark.parametrize("reader", READERS)
+def test_a_batch_of_files_is_never_objects_at_once(spark, monkeypatch, reader):
+    made, real = [], F.pandas_udf
+    monkeypatch.setattr(F, "pandas_udf", lambda *a: (lambda f: (made.append(f), real(*a)(f))[1]) if len(a) == 1 else (made.append(a[0]), real(*a))[1])
+    READERS[reader](spark.createDataFrame([("a", GOOD)], "path string, content binary"))
+    content = pd.Series([MODULE + bytes(2_000) if reader == "decode_sections" else GOOD + bytes(2_000)] * MANY)
+    found = list(made[-1](iter([(content, pd.Series([0] * MANY)) if reader == "decode_sections" else content])))
+    assert sum(map(len, found)) == MANY and max(map(len, found)) < MANY / 5
+
+
+def test_slices_keep_rows_and_order():
+    rows = [b"x" * n for n in (0, 10, 3_000, 5, 40, 50)] + [None]
+    cut = list(batches.slices([pd.Series(rows), pd.Series([], dtype=object)], limit=50))
+    assert [list(c) for c in cut] == [rows[:2], rows[2:3], rows[3:5], rows[5:6], rows[6:], []]
+    pairs = list(batches.slices([(pd.Series(["ab", "c"]), pd.Series([["de"], None]))], limit=4))
+    assert [[list(c) for c in p] for p in pairs] == [[["ab"], [["de"]]], [["c"], [None]]]
+
+
 @pytest.fixture(scope="module")
 def files(spark):
     return spark.createDataFrame([("good", GOOD)] + [(k, v[0]) for k, v in BAD.items()], "path string, content binary")
