@@ -75,6 +75,20 @@ def test_frames(spark):
     assert found[1] == ["LOAD% A", "PUSH 70000", "EQ"] and found[2] is None
 
 
+@pytest.mark.parametrize("read", ["lex_lines", "parse_expressions", "record_variables"])
+def test_one_partition_is_dealt_to_all_cores(spark, read):
+    """A small table comes in one piece, and Python takes long over it."""
+    rows = spark.createDataFrame([("a", "DIM X AS T", "1 + X")] * 100, "path string, line string, expression string").coalesce(1)
+    plan = getattr(source, read)(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan.split("EvalPython")[-1]
+
+
+def test_tokens_of_null_and_bad_lines_together(spark):
+    lines = spark.createDataFrame([(0, None), (1, "A$ = 1"), (2, "X = @"), (3, "")], "n int, line string").coalesce(1)
+    found = {r.n: (None if r.tokens is None else [tuple(t) for t in r.tokens], r.error is None) for r in source.lex_lines(lines).collect()}
+    assert found == {0: (None, True), 1: ([("NAME", "A", "$", 0), ("OP", "=", "", 3), ("NUMBER", "1", "", 5), ("END", "", "", 6)], True), 2: (None, False), 3: ([("END", "", "", 0)], True)}
+
+
 def test_record_variables(spark):
     lines = spark.createDataFrame([("a", "TYPE Disk"), ("a", "DIM d(10) AS DISK, e AS INTEGER"), ("a", "SUB s (x AS Disk)"), ("b", "DIM d AS Disk"), ("b", None)], "path string, line string")
     assert {(r.path, r.name) for r in source.record_variables(lines).collect()} == {("a", "d"), ("a", "x")}
